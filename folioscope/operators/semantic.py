@@ -1,0 +1,148 @@
+"""Exact cosine ranking of stated query vectors against all vectors, in blocks, and its keyword safety net."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from folioscope.functions.words import TOP_K
+
+#: Vectors and queries of one block; bound the similarity matrix of a task.
+VECTOR_BLOCK = 4096
+QUERY_BLOCK = 512
+
+
+def usable(vector: Column, dimensions: int) -> Column:
+    """Whether a vector has exactly this many finite numbers, not all zero."""
+    inf = F.lit(float("inf")).cast("float")
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf))
+    return F.coalesce((F.size(vector) == dimensions) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
+def usable_vectors(vectors: DataFrame, dimensions: int = 64) -> DataFrame:
+    return (
+        vectors.where(F.col("chunk_ord").isNotNull() & usable(F.col("embedding"), dimensions))
+        .dropDuplicates(["chunk_ord"])
+        .select("chunk_ord", "embedding")
+    )
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Inner product, summed in order in double precision."""
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+
+
+def _packed(rows: DataFrame, block: Column, keep: str) -> DataFrame:
+    """Rows as blocks of bounded size: ``block, ids, vectors`` with the unit vectors as one binary matrix."""
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        matrix = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+        return pd.DataFrame({"block": [key[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "vectors": [matrix.tobytes()]})
+
+    return (
+        rows.select(F.col(keep).cast("long").alias("id"), "embedding", block.alias("block"))
+        .groupBy("block")
+        .applyInPandas(pack, "block long, ids binary, vectors binary")
+    )
+
+
+def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+    """``query_ord, rank, chunk_ord, similarity``: the ``k`` most similar vectors of each query, itself included.
+
+    Both tables have chunk_ord and embedding; unusable vectors are left out on both sides, repeated rows count once.
+    Every pair of a query block and a vector block is one matrix product, joined by the number of the query block; only
+    each block's ``k`` best leave the task.  Equal similarities (to 6 digits) go by chunk_ord.
+    """
+    every, asked = usable_vectors(vectors), usable_vectors(queries)
+    vector_blocks = max(1, -(-every.count() // VECTOR_BLOCK))
+    query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    spread = lambda n: F.pmod(F.xxhash64("chunk_ord"), F.lit(n))
+    left = _packed(every, spread(vector_blocks), "chunk_ord").select(
+        F.col("ids").alias("v_ids"), F.col("vectors").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("block")
+    ).withColumn("block", F.col("block").cast("long"))
+    right = _packed(asked, spread(query_blocks), "chunk_ord").select("block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                v_ids, q_ids = np.frombuffer(row.v_ids, np.int64), np.frombuffer(row.q_ids, np.int64)
+                v = np.frombuffer(row.v).reshape(len(v_ids), -1)
+                q = np.frombuffer(row.q).reshape(len(q_ids), -1)
+                similar = np.round(q @ v.T, 6)
+                # Ids ascend within a block, so a stable sort settles ties by id.
+                order = np.argsort(-similar, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame(
+                    {
+                        "query_ord": np.repeat(q_ids, order.shape[1]),
+                        "chunk_ord": v_ids[order].ravel(),
+                        "similarity": np.take_along_axis(similar, order, 1).ravel(),
+                    }
+                )
+
+    near = left.join(right, "block").select("v_ids", "v", "q_ids", "q")
+    found = near.mapInPandas(rank, "query_ord long, chunk_ord long, similarity double")
+    best = Window.partitionBy("query_ord").orderBy(F.desc("similarity"), "chunk_ord")
+    return (
+        found.withColumn("rank", F.row_number().over(best))
+        .where(F.col("rank") <= k)
+        .select(F.col("query_ord").cast("int"), "rank", F.col("chunk_ord").cast("int"), "similarity")
+    )
+
+
+def with_keyword_match(ranked: DataFrame, matches: DataFrame, k: int = TOP_K) -> DataFrame:
+    """``query, rank, chunk_id, via``: the semantic top ``k``, the last one replaced by the keyword match if that is new.
+
+    ``ranked`` has query, rank, chunk_id; ``matches`` at most one chunk_id per query.  Queries with a match but no
+    semantic result get the match alone at rank 1.  ``k`` below 1 gives no rows.
+    """
+    top = ranked.where(F.col("rank") <= k).select("query", "rank", "chunk_id")
+    new = matches.select("query", "chunk_id").join(top, ["query", "chunk_id"], "left_anti")
+    sizes = top.groupBy("query").agg(F.max("rank").alias("size"))
+    placed = new.join(sizes, "query", "left").select(
+        "query",
+        F.when(F.coalesce("size", F.lit(0)) < k, F.coalesce("size", F.lit(0)) + 1).otherwise(k).cast("int").alias("rank"),
+        "chunk_id",
+        F.lit("keyword").alias("via"),
+    )
+    kept = top.join(placed.select("query", "rank"), ["query", "rank"], "left_anti").withColumn("via", F.lit("semantic"))
+    return kept.unionByName(placed) if k >= 1 else kept.limit(0)
+
+
+def closest_sections(ranked: DataFrame, chunks: DataFrame, n: int = 3) -> DataFrame:
+    """``query, position, section_path, title, page``: the first ``n`` distinct sections in rank order."""
+    held = chunks.where("chunk_id is not null").dropDuplicates(["chunk_id"]).select(
+        "chunk_id", "section_path", "title", F.get(F.col("pages"), F.lit(0))["page"].alias("page")
+    )
+    first = (
+        ranked.join(held, "chunk_id")
+        .groupBy("query", "section_path")
+        .agg(F.min(F.struct("rank", "title", "page")).alias("best"))
+    )
+    order = Window.partitionBy("query").orderBy("best.rank")
+    return (
+        first.withColumn("position", F.row_number().over(order))
+        .where(F.col("position") <= n)
+        .select("query", "position", "section_path", "best.title", "best.page")
+    )
+
+
+def round_robin(hits: DataFrame, seen: DataFrame, most: int) -> DataFrame:
+    """``query, position, chunk_id``: hits of several follow-up searches taken in turn, without those already seen.
+
+    ``hits`` has query, search, rank, chunk_id.  A passage counts where it comes first: by rank, then by search.
+    """
+    unseen = hits.join(seen.select("query", "chunk_id"), ["query", "chunk_id"], "left_anti")
+    first = unseen.groupBy("query", "chunk_id").agg(F.min(F.struct("rank", "search")).alias("at"))
+    order = Window.partitionBy("query").orderBy("at.rank", "at.search")
+    return (
+        first.withColumn("position", F.row_number().over(order))
+        .where(F.col("position") <= most)
+        .select("query", "position", "chunk_id")
+    )

@@ -4,13 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscope.operators import nested
+from folioscope.functions import text as T
+from folioscope.functions.words import DOLLARS_PER_MILLION, MAX_CHUNK_CHARS, MAX_EXTRA_PASSAGES, TOP_K
+from folioscope.operators import chunking, evaluate, grounding, keyword, layout, nested, semantic
+from folioscope.plans import oracle
 from folioscope.session import cut_lineage
+from folioscope.sources import index_store
 from folioscope.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Query vectors of the semantic queries: rows whose ordinal is divisible by this, against all rows.
+QUERY_STEP = 50
+
+
+def _once(spark: SparkSession, directory: str, name: str, *key: str) -> DataFrame:
+    rows = table(spark, directory, name)
+    return rows.dropDuplicates([*key])
+
+
+# Nested records (problem 5).
 
 
 def _nodes(spark: SparkSession, directory: str) -> DataFrame:
@@ -37,5 +52,362 @@ def p5_calls(spark: SparkSession, directory: str) -> DataFrame:
     return nested.call_table(_nodes(spark, directory))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_nodes, p5_traces, p5_step_times, p5_calls)}
-SQL: dict[str, str] = {}
+# Chunking.
+
+
+def rendered_blocks(spark: SparkSession, directory: str) -> DataFrame:
+    blocks = chunking.distinct_blocks(table(spark, directory, "blocks")).where("kind = 'paragraph' and text is not null")
+    line = T.render_block(F.col("text"), F.col("list_level"), F.col("continued"))
+    return blocks.select("section_id", "block_ord", line.alias("line"))
+
+
+def heading_trail(spark: SparkSession, directory: str) -> DataFrame:
+    found = chunking.with_heading_trail(table(spark, directory, "blocks"))
+    return found.select("section_id", "block_ord", "run", F.array_join("headings", " › ").alias("trail"))
+
+
+def long_text_split(spark: SparkSession, directory: str) -> DataFrame:
+    blocks = chunking.distinct_blocks(table(spark, directory, "blocks")).where(F.length("text") > MAX_CHUNK_CHARS)
+    pieces = F.posexplode(T.split_long(F.col("text"), MAX_CHUNK_CHARS)).alias("piece_ord", "piece")
+    return blocks.select("section_id", "block_ord", pieces)
+
+
+def chunk_sections(spark: SparkSession, directory: str) -> DataFrame:
+    chunks = chunking.chunk_sections(table(spark, directory, "blocks"), table(spark, directory, "sections"))
+    pages = F.array_join(F.transform("pages", lambda p: p["page"].cast("string")), ",")
+    return chunks.select("chunk_id", "section_id", "title", pages.alias("pages"), T.body_text(F.col("pages")).alias("body"))
+
+
+def chunk_stats(spark: SparkSession, directory: str) -> DataFrame:
+    return chunking.length_statistics(_once(spark, directory, "chunks", "chunk_id"))
+
+
+def body_text(spark: SparkSession, directory: str) -> DataFrame:
+    chunks = _once(spark, directory, "chunks", "chunk_id")
+    search = F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), T.body_text(F.col("pages")))
+    return chunks.select("chunk_id", T.body_text(F.col("pages")).alias("body"), F.sha2(search, 256).alias("search_sha256"))
+
+
+# Keyword index.
+
+
+def tokenize_passages(spark: SparkSession, directory: str) -> DataFrame:
+    passages = keyword.passages(table(spark, directory, "keyword_index"))
+    each = passages.select("chunk_id", F.explode(T.terms(F.col("body"))).alias("term"))
+    return each.groupBy("chunk_id", "term").agg(F.count("*").alias("n"))
+
+
+def doc_frequency(spark: SparkSession, directory: str) -> DataFrame:
+    return keyword.document_frequency(table(spark, directory, "keyword_index"))
+
+
+def rare_words(spark: SparkSession, directory: str) -> DataFrame:
+    return keyword.rare_words(table(spark, directory, "keyword_index"), table(spark, directory, "questions"))
+
+
+def rare_word_match(spark: SparkSession, directory: str) -> DataFrame:
+    return keyword.rare_word_match(table(spark, directory, "keyword_index"), table(spark, directory, "questions"))
+
+
+def _question_terms(spark: SparkSession, directory: str) -> DataFrame:
+    questions = evaluate.distinct_questions(table(spark, directory, "questions"))
+    return questions.select("id", F.explode(F.array_distinct(T.terms(F.col("question")))).alias("term"))
+
+
+def bm25_topk(spark: SparkSession, directory: str) -> DataFrame:
+    scores = keyword.bm25_scores(table(spark, directory, "keyword_index"), _question_terms(spark, directory))
+    return keyword.best_passages(scores, TOP_K)
+
+
+# Semantic search.
+
+
+def _semantic(spark: SparkSession, directory: str, near: int = 0, k: int = TOP_K) -> DataFrame:
+    vectors = table(spark, directory, "vectors")
+    queries = vectors.where(F.pmod(F.col("chunk_ord") - near, F.lit(QUERY_STEP)) == 0)
+    return semantic.semantic_topk(vectors, queries, k)
+
+
+def semantic_topk(spark: SparkSession, directory: str) -> DataFrame:
+    return _semantic(spark, directory)
+
+
+def vector_products(spark: SparkSession, directory: str) -> DataFrame:
+    """Squared length of every vector, summed in order in double precision."""
+    vectors = semantic.usable_vectors(table(spark, directory, "vectors"))
+    return vectors.select("chunk_ord", F.round(semantic.dot(F.col("embedding"), F.col("embedding")), 6).alias("squared"))
+
+
+def _chunk_ids(spark: SparkSession, directory: str) -> DataFrame:
+    return _once(spark, directory, "chunks", "chunk_id").select("chunk_ord", "chunk_id", "title", "section_path", "pages")
+
+
+def _ranked(spark: SparkSession, directory: str, near: int = 0, k: int = TOP_K) -> DataFrame:
+    ids = _chunk_ids(spark, directory).select("chunk_ord", "chunk_id")
+    ranked = _semantic(spark, directory, near, k).join(ids, "chunk_ord")
+    return ranked.select((F.col("query_ord") - near).alias("query"), "rank", "chunk_id", "similarity")
+
+
+def hybrid_search(spark: SparkSession, directory: str) -> DataFrame:
+    """Vector search for every 50th chunk, with the best passage for the rare words of its title in the last slot."""
+    index = table(spark, directory, "keyword_index")
+    asked = (
+        _chunk_ids(spark, directory)
+        .where(F.pmod("chunk_ord", F.lit(QUERY_STEP)) == 0)
+        .select(F.col("chunk_ord").cast("string").alias("id"), F.col("title").alias("question"))
+    )
+    match = keyword.rare_word_match(index, asked).select(F.col("id").cast("int").alias("query"), "chunk_id")
+    ranked = cut_lineage(_ranked(spark, directory))
+    only = match.join(ranked.select("query").distinct(), "query", "left_semi")
+    return semantic.with_keyword_match(ranked, only)
+
+
+def closest_sections(spark: SparkSession, directory: str) -> DataFrame:
+    return semantic.closest_sections(_ranked(spark, directory), table(spark, directory, "chunks"))
+
+
+def round_robin_research(spark: SparkSession, directory: str) -> DataFrame:
+    """For every 50th chunk: what its three followers find in turn that it didn't find itself."""
+    seen = _ranked(spark, directory)
+    hits = None
+    for search in (1, 2, 3):
+        of = _ranked(spark, directory, search).select("query", F.lit(search).alias("search"), "rank", "chunk_id")
+        hits = of if hits is None else hits.unionByName(of)
+    return semantic.round_robin(hits, seen, MAX_EXTRA_PASSAGES)
+
+
+# Index store.
+
+
+def index_roundtrip(spark: SparkSession, directory: str) -> DataFrame:
+    """Chunks and vectors written as an index, read back with all its checks, and joined by ordinal."""
+    chunks, vectors = _chunk_ids(spark, directory), semantic.usable_vectors(table(spark, directory, "vectors"))
+    both = chunks.join(vectors, "chunk_ord")
+    return index_store.round_trip(both).select(
+        "chunk_ord", "chunk_id", F.size("embedding").alias("dim"), F.round(semantic.dot(F.col("embedding"), F.col("embedding")), 6).alias("squared")
+    )
+
+
+# Grounding.
+
+
+def citable_blocks(spark: SparkSession, directory: str) -> DataFrame:
+    return grounding.citable_blocks(table(spark, directory, "chunks"))
+
+
+def _answers(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "answer_eval").where("row_id is not null").dropDuplicates(["row_id"])
+
+
+def _reply() -> Column:
+    """A reply with its gaps in lines of their own, as the model writes them."""
+    lines = F.transform(F.coalesce("gaps", F.array().cast("array<string>")), lambda g: F.concat(F.lit("- **GAP:** "), g))
+    return F.array_join(F.concat(F.array(F.coalesce("answer", F.lit(""))), lines), "\n")
+
+
+def gap_lines(spark: SparkSession, directory: str) -> DataFrame:
+    replies = _answers(spark, directory).select("row_id", _reply().alias("reply"))
+    return replies.select("row_id", F.posexplode(grounding.gap_lines(F.col("reply"))).alias("gap_ord", "gap"))
+
+
+def dedupe_gaps(spark: SparkSession, directory: str) -> DataFrame:
+    """The gaps of each answer, without those that say no more than an earlier one."""
+    rows = _answers(spark, directory).where(F.size("gaps") > 0)
+    return rows.select("row_id", F.posexplode(grounding.distinct_gaps(F.col("gaps"))).alias("gap_ord", "gap"))
+
+
+def searchable_gaps(spark: SparkSession, directory: str) -> DataFrame:
+    rows = _answers(spark, directory).where(F.size("gaps") > 0)
+    return rows.select("row_id", F.posexplode(grounding.searched_gaps(F.col("gaps"))).alias("gap_ord", "gap"))
+
+
+def _parts(spark: SparkSession, directory: str) -> DataFrame:
+    rows = _answers(spark, directory).where(F.size("parts") > 0)
+    following = lambda p, i: F.get(F.col("parts"), i + 1)
+    paired = F.transform("parts", lambda p, i: F.struct(p.alias("part"), following(p, i).alias("following")))
+    return rows.select("row_id", F.posexplode(paired).alias("part_ord", "pair")).select(
+        "row_id", "part_ord", "pair.part.*", F.col("pair.following").alias("following")
+    )
+
+
+def uncited_claims(spark: SparkSession, directory: str) -> DataFrame:
+    claims = grounding.is_uncited_claim(F.col("text"), F.col("citations"))
+    return _parts(spark, directory).where(claims).select("row_id", "part_ord", "text")
+
+
+def restatements(spark: SparkSession, directory: str) -> DataFrame:
+    """Every cited part with its own text put before it uncited: where the repeated sentence starts, and what stays."""
+    cited = _parts(spark, directory).where(F.size("citations") > 0)
+    found = cited.withColumn("start", grounding.restated_from(F.concat("text", F.lit(" ")), F.col("text")))
+    kept = F.substring("text", F.lit(1), F.col("start"))
+    return found.where(F.col("start").isNotNull()).select("row_id", "part_ord", "start", kept.alias("kept"))
+
+
+def passage_remarks(spark: SparkSession, directory: str) -> DataFrame:
+    """Every answer with a remark about passages put before and after it, without its remarks."""
+    rows = _answers(spark, directory).where("answer is not null")
+    reply = F.concat(
+        F.lit("The passages don't say more. They only mention it. "), F.col("answer"), F.lit("\nThese excerpts stop here.")
+    )
+    done = grounding.passage_remarks(reply)
+    return rows.select("row_id", done["text"].alias("text"), done["dropped"].alias("dropped"))
+
+
+def answer_texts(spark: SparkSession, directory: str) -> DataFrame:
+    rows = _answers(spark, directory).where(F.size("parts") > 0)
+    return rows.select(
+        "row_id",
+        grounding.answer_text(F.col("parts")).alias("text"),
+        grounding.uncited_characters(F.col("parts")).alias("uncited"),
+        F.array_join(F.transform(grounding.cited_numbers(F.col("parts")), lambda n: n.cast("string")), ",").alias("cited"),
+    )
+
+
+def gate_verdict(spark: SparkSession, directory: str) -> DataFrame:
+    text = T.trim(F.coalesce("answer", F.lit("")))
+    cited = F.coalesce(F.size(grounding.cited_numbers(F.col("parts"))), F.lit(0))
+    gaps = F.greatest(F.coalesce(F.size("gaps"), F.lit(0)), F.lit(0))
+    return _answers(spark, directory).select("row_id", grounding.verdict(text, F.greatest(cited, F.lit(0)), gaps).alias("verdict"))
+
+
+def resolve_citations(spark: SparkSession, directory: str) -> DataFrame:
+    """Each citation number of an answer's parts as a quote of a block of one of five chunks, every seventh one false."""
+    blocks = cut_lineage(grounding.citable_blocks(table(spark, directory, "chunks")))
+    n = _chunk_ids(spark, directory).count()
+    each = (
+        _answers(spark, directory)
+        .where(F.size("parts") > 0)
+        .select("row_id", F.posexplode("parts").alias("part", "p"))
+        .select("row_id", "part", F.posexplode("p.citations").alias("position", "number"))
+        .withColumn("document_index", F.col("number") - 1)
+        .withColumn("chunk_ord", F.pmod(F.col("row_id") * 5 + F.col("document_index"), F.lit(max(n, 1))).cast("int"))
+    )
+    pointed = each.join(_chunk_ids(spark, directory).select("chunk_ord", "chunk_id"), "chunk_ord")
+    first = blocks.where("block_index = 0").select("chunk_id", "text")
+    false = F.pmod(F.col("row_id") + F.col("part"), F.lit(7)) == 0
+    raw = pointed.join(first, "chunk_id").select(
+        F.col("row_id").alias("query"),
+        "part",
+        "position",
+        F.lit("content_block_location").alias("type"),
+        "document_index",
+        F.lit(0).alias("start_block"),
+        F.lit(1).alias("end_block"),
+        F.when(false, F.concat("text", F.lit(" and more"))).otherwise(F.concat(F.lit(" "), "text")).alias("cited_text"),
+    )
+    documents = pointed.select(F.col("row_id").alias("query"), "document_index", "chunk_id").distinct()
+    return grounding.resolve_citations(raw, documents, blocks).withColumnRenamed("query", "row_id")
+
+
+# Evaluation.
+
+
+def evidence_chunks(spark: SparkSession, directory: str) -> DataFrame:
+    read = lambda name: table(spark, directory, name)
+    return evaluate.evidence_chunks(read("questions"), read("keyword_index"), read("chunks"))
+
+
+def missing_expectations(spark: SparkSession, directory: str) -> DataFrame:
+    return evaluate.missing_expectations(table(spark, directory, "questions"), table(spark, directory, "chunks"))
+
+
+def retrieval_eval(spark: SparkSession, directory: str) -> DataFrame:
+    ranked, targets = bm25_topk(spark, directory), evidence_chunks(spark, directory)
+    return evaluate.retrieval_evaluation(ranked, targets, table(spark, directory, "questions"))
+
+
+def retrieval_summary(spark: SparkSession, directory: str) -> DataFrame:
+    rows = retrieval_eval(spark, directory)
+    return rows.agg(
+        F.count("*").alias("questions"),
+        F.count("search_rank").alias("hits"),
+        F.count_if(F.col("search_rank") <= 8).alias("hits_at_8"),
+        F.round(F.coalesce(F.avg(F.coalesce(1 / F.col("search_rank"), F.lit(0.0))), F.lit(0.0)), 6).alias("mrr"),
+    )
+
+
+def _graded(spark: SparkSession, directory: str) -> DataFrame:
+    return evaluate.graded(table(spark, directory, "answer_eval"), table(spark, directory, "questions"))
+
+
+def grade_answers(spark: SparkSession, directory: str) -> DataFrame:
+    return _graded(spark, directory).select("row_id", "id", "outcome", "grade")
+
+
+def outcome_counts(spark: SparkSession, directory: str) -> DataFrame:
+    return (
+        _graded(spark, directory)
+        .groupBy("kind")
+        .agg(
+            F.count("*").alias("answers"),
+            F.count_if(F.col("grade") == "pass").alias("passed"),
+            F.count_if(F.col("grade") == "review").alias("for_review"),
+            F.count_if(F.col("grade") == "fail").alias("failed"),
+            F.count_if(F.col("grade").eqNullSafe(F.col("outcome"))).alias("as_saved"),
+        )
+    )
+
+
+def unknown_answers(spark: SparkSession, directory: str) -> DataFrame:
+    return evaluate.unknown_answers(table(spark, directory, "answer_eval"), table(spark, directory, "questions"))
+
+
+def reading_checks(spark: SparkSession, directory: str) -> DataFrame:
+    """Answered rows with parts, those that open with an uncited claim, and those whose uncited text names passages."""
+    rows = _answers(spark, directory).where((F.col("status") == "answered") & (F.size("parts") > 0))
+    filled = F.get(F.filter("parts", lambda p: T.trim(p["text"]) != ""), F.lit(0))
+    sentence = F.regexp_extract(filled["text"], rf"(?s)^(.*?(?:[.!?:](?=[{T.SPACE}]|\z)|\n))", 1)
+    opens = (sentence != "") & grounding.is_uncited_claim(sentence, filled["citations"])
+    about = F.exists(
+        "parts",
+        lambda p: (F.coalesce(F.size(p["citations"]), F.lit(0)) <= 0)
+        & p["text"].rlike(r"(?i)(?<![A-Za-z0-9_])(?:passages?|excerpts?)(?![A-Za-z0-9_])"),
+    )
+    return rows.agg(
+        F.count("*").alias("answered"), F.count_if(opens).alias("opens_uncited"), F.count_if(about).alias("about_passages")
+    )
+
+
+def answer_length_medians(spark: SparkSession, directory: str) -> DataFrame:
+    return evaluate.upper_median(_answers(spark, directory), "kind", F.length("answer"))
+
+
+def trace_costs(spark: SparkSession, directory: str) -> DataFrame:
+    """Tokens and dollars of every trace, over all of its calls."""
+    calls = nested.call_table(_nodes(spark, directory))
+    dollars = F.col("tokens") * F.when(F.col("item") == "input", DOLLARS_PER_MILLION["input"]).otherwise(DOLLARS_PER_MILLION["output"]) / 1e6
+    return calls.groupBy("trace_id").agg(F.sum("tokens").alias("tokens"), F.round(F.sum(dollars), 6).alias("dollars"))
+
+
+# Layout.
+
+
+def line_texts(spark: SparkSession, directory: str) -> DataFrame:
+    """Blocks laid out as positioned words, four to a line, and put together again as lines."""
+    return layout.lines_from_items(layout.laid_out(table(spark, directory, "blocks"))).select(
+        "doc_id", "page", "line_ord", "y", "x", "right", "size", "text"
+    )
+
+
+def line_geometry(spark: SparkSession, directory: str) -> DataFrame:
+    return line_texts(spark, directory).drop("text")
+
+
+def indent_margins(spark: SparkSession, directory: str) -> DataFrame:
+    lines = layout.lines_from_items(layout.laid_out(table(spark, directory, "blocks")))
+    return layout.indent_margins(lines).select("doc_id", "indent", "lines", "margin", "page_margin", "is_narrower")
+
+
+_ALL = (
+    p5_found, p5_nodes, p5_traces, p5_step_times, p5_calls,
+    rendered_blocks, heading_trail, long_text_split, chunk_sections, chunk_stats, body_text,
+    tokenize_passages, doc_frequency, rare_words, rare_word_match, bm25_topk,
+    semantic_topk, vector_products, hybrid_search, closest_sections, round_robin_research, index_roundtrip,
+    citable_blocks, gap_lines, dedupe_gaps, searchable_gaps, uncited_claims, restatements, passage_remarks, answer_texts,
+    gate_verdict, resolve_citations,
+    evidence_chunks, missing_expectations, retrieval_eval, retrieval_summary, grade_answers, outcome_counts,
+    unknown_answers, reading_checks, answer_length_medians, trace_costs,
+    line_texts, line_geometry, indent_margins,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
+SQL: dict[str, str] = oracle.SQL
