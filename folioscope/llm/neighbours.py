@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from folioscope.session import cut_lineage
 
 #: Vectors of one shard, and queries searched for by one task; bound a task's memory.
-SHARD_VECTORS = 8192
+SHARD_VECTORS = 32_768
 QUERY_BLOCK = 8192
 #: Vectors in the sample the cell centres are fitted on, and the most centres; both bound what the driver holds.
 SAMPLE_VECTORS = 16_384
