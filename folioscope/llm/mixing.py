@@ -166,7 +166,7 @@ def share_report(drawn: DataFrame, plan: DataFrame) -> DataFrame:
         .select(
             "source",
             F.round("target_share", 6).alias("target_share"),
-            F.round(F.coalesce(F.col("tokens_used") / total, F.lit(0.0)), 6).alias("actual_share"),
+            F.round(F.coalesce(F.try_divide(F.col("tokens_used"), total), F.lit(0.0)), 6).alias("actual_share"),
             "max_repeats",
             "most_repeats",
             "texts",
