@@ -85,7 +85,7 @@ def label(record: object, name: str = "record") -> list[tuple]:
     return [tuple(n) for n in nodes]
 
 
-def _label_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def label_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in NODE.split(", ")]
     for batch in batches:
         rows = [
@@ -109,7 +109,7 @@ def record_nodes(log: DataFrame) -> DataFrame:
         .where("line_id is not null and trace_id is not null and record is not null")
         .dropDuplicates(["line_id"])
     )
-    return lines.mapInPandas(_label_lines, NODE)
+    return lines.mapInPandas(label_lines, NODE)
 
 
 def inside(nodes: DataFrame, containers: DataFrame, name: str) -> DataFrame:
