@@ -101,14 +101,15 @@ def split_long(text: Column, limit: int) -> Column:
             ),
         ).otherwise(state)
 
-    # A piece is at least one character long only where hard cuts follow each other, which take ``limit`` each; sentence
-    # ends can come early, so the steps allow for short pieces and stop changing once the rest fits.
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)))
-    start = F.struct(F.array().cast("array<string>").alias("pieces"), text.alias("rest"))
-    done = F.aggregate(steps, start, cut)
-    return F.when(F.length(text) <= limit, F.when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))).otherwise(
-        F.concat(done["pieces"], F.when(F.length(done["rest"]) > 0, F.array(done["rest"])).otherwise(F.array().cast("array<string>")))
-    )
+    # A cut may come early where a sentence or word ends early, but what follows it then has no such end, so any three
+    # cuts in a row take at least ``limit`` characters.
+    text = text.cast("string")
+    steps = F.sequence(F.lit(1), 3 * (F.floor(F.length(text) / limit).cast("int") + 1))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("pieces"), text.alias("rest"))
+    last = lambda rest: F.when(F.length(rest) > 0, F.array(rest)).otherwise(none)
+    whole = F.aggregate(steps, start, cut, lambda s: F.concat(s["pieces"], last(s["rest"])))
+    return F.when(F.length(text) <= limit, last(text)).otherwise(whole)
 
 
 def body_text(pages: Column) -> Column:
