@@ -85,31 +85,43 @@ def label(record: object, name: str = "record") -> list[tuple]:
     return [tuple(n) for n in nodes]
 
 
-def label_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _under(nodes: list[tuple], names: frozenset[str]) -> list[tuple]:
+    """The nodes of these names and all nodes below them; ``nodes`` are in pre-order."""
+    kept, until = [], -1
+    for node in nodes:
+        if node[1] < until or node[4] in names:
+            until = max(until, node[1])
+            kept.append(node)
+    return kept
+
+
+def label_lines(batches: Iterator[pd.DataFrame], under: frozenset[str] | None = None) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in NODE.split(", ")]
     for batch in batches:
-        rows = [
-            (line, trace, *node)
-            for line, trace, text in batch.itertuples(index=False, name=None)
-            if (record := parse_record(text)) is not None
-            for node in label(record)
-        ]
-        nodes = pd.DataFrame(rows, columns=columns)
-        yield nodes.astype({"position": "Int32", "line_id": "int64", "trace_id": "int64"}) if rows else nodes
+        rows = []
+        for line, trace, text in batch.itertuples(index=False, name=None):
+            record = parse_record(text)
+            if record is not None:
+                nodes = label(record)
+                rows += [(line, trace, *node) for node in (nodes if under is None else _under(nodes, under))]
+        frame = pd.DataFrame(rows, columns=columns)
+        yield frame.astype({"position": "Int32", "line_id": "int64", "trace_id": "int64"}) if rows else frame
 
 
-def record_nodes(log: DataFrame) -> DataFrame:
+def record_nodes(log: DataFrame, under: list[str] | None = None) -> DataFrame:
     """One row per node of every readable record of ``log`` (line_id, trace_id, record), with its interval label.
 
     Lines without a line_id or trace_id, and lines that aren't one whole JSON object, give no rows; repeated rows count
-    once.  ``value`` is a scalar's text, null for JSON null and inner nodes.
+    once.  ``value`` is a scalar's text, null for JSON null and inner nodes.  With ``under`` only the nodes of these
+    names and those below them leave the task; their labels stay the same.
     """
     lines = (
         log.select(F.col("line_id").cast("long"), F.col("trace_id").cast("long"), "record")
         .where("line_id is not null and trace_id is not null and record is not null")
         .dropDuplicates(["line_id"])
     )
-    return lines.mapInPandas(label_lines, NODE)
+    names = None if under is None else frozenset(under)
+    return lines.mapInPandas(lambda batches: label_lines(batches, names), NODE)
 
 
 def inside(nodes: DataFrame, containers: DataFrame, name: str) -> DataFrame:

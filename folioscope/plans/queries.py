@@ -28,12 +28,12 @@ def _once(spark: SparkSession, directory: str, name: str, *key: str) -> DataFram
 # Nested records (problem 5).
 
 
-def _nodes(spark: SparkSession, directory: str) -> DataFrame:
-    return cut_lineage(nested.record_nodes(table(spark, directory, "ask_log")))
+def _nodes(spark: SparkSession, directory: str, *under: str) -> DataFrame:
+    return cut_lineage(nested.record_nodes(table(spark, directory, "ask_log"), [*under] or None))
 
 
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
-    return nested.trace_children(_nodes(spark, directory))
+    return nested.trace_children(_nodes(spark, directory, "research", "ms", "usage"))
 
 
 def p5_nodes(spark: SparkSession, directory: str) -> DataFrame:
@@ -45,11 +45,11 @@ def p5_traces(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p5_step_times(spark: SparkSession, directory: str) -> DataFrame:
-    return nested.step_table(_nodes(spark, directory))
+    return nested.step_table(_nodes(spark, directory, "ms"))
 
 
 def p5_calls(spark: SparkSession, directory: str) -> DataFrame:
-    return nested.call_table(_nodes(spark, directory))
+    return nested.call_table(_nodes(spark, directory, "usage"))
 
 
 # Chunking.
@@ -374,7 +374,7 @@ def answer_length_medians(spark: SparkSession, directory: str) -> DataFrame:
 
 def trace_costs(spark: SparkSession, directory: str) -> DataFrame:
     """Tokens and dollars of every trace, over all of its calls."""
-    calls = nested.call_table(_nodes(spark, directory))
+    calls = nested.call_table(_nodes(spark, directory, "usage"))
     dollars = F.col("tokens") * F.when(F.col("item") == "input", DOLLARS_PER_MILLION["input"]).otherwise(DOLLARS_PER_MILLION["output"]) / 1e6
     return calls.groupBy("trace_id").agg(F.sum("tokens").alias("tokens"), F.round(F.sum(dollars), 6).alias("dollars"))
 
