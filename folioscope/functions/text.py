@@ -50,6 +50,12 @@ def term(word: Column) -> Column:
     return F.when(~F.forall(parts, lambda p: F.array_contains(stop, p)), F.lower(word))
 
 
+def word_term(word: Column) -> Column:
+    """``term`` for a column of words: the same, but a plain set lookup for words without a joiner."""
+    joined = word.rlike(r"[_\-./@:]")
+    return F.when(joined, term(word)).when(~F.lower(word).isin(STOP_WORDS), F.lower(word))
+
+
 def terms(text: Column) -> Column:
     """Index terms of a text, in order, with repeats."""
     return F.filter(F.transform(tokens(text), term), lambda t: t.isNotNull())

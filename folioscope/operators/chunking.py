@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.functions.words import MAX_CHUNK_CHARS
-from folioscope.session import partitions
+from folioscope.session import cut_lineage, partitions
 
 #: Blocks of one section that one window task sees; longer sections are spread over several tasks.
 SPAN = 4096
@@ -72,9 +72,12 @@ def with_heading_trail(blocks: DataFrame) -> DataFrame:
     return found.withColumns({"headings": F.array_compact(trail), "run": F.coalesce(at, F.lit(-1))}).drop("_h1", "_h2", "_h")
 
 
-def paragraph_pieces(blocks: DataFrame, limit: int = MAX_CHUNK_CHARS) -> DataFrame:
-    """Rendered paragraphs in pieces within the limit: section_id, run, headings, block_ord, piece_ord, page, piece."""
-    lines = with_heading_trail(blocks).where("kind = 'paragraph' and text is not null")
+def paragraph_pieces(trailed: DataFrame, limit: int = MAX_CHUNK_CHARS) -> DataFrame:
+    """Rendered paragraphs of blocks with their trail, in pieces within the limit.
+
+    Columns: section_id, run, headings, block_ord, piece_ord, page, piece.
+    """
+    lines = trailed.where("kind = 'paragraph' and text is not null")
     lines = lines.withColumn("line", T.render_block(F.col("text"), F.col("list_level"), F.col("continued")))
     whole = F.length("line") <= limit
     pieces = F.when(whole, F.array("line")).otherwise(T.split_long(F.when(~whole, F.col("line")), limit))
@@ -112,7 +115,8 @@ def chunk_sections(blocks: DataFrame, sections: DataFrame, limit: int = MAX_CHUN
     sections without a path give no chunks; a null title counts as empty.
     """
     spark = blocks.sparkSession
-    pieces = paragraph_pieces(blocks, limit)
+    trailed = cut_lineage(with_heading_trail(blocks))
+    pieces = paragraph_pieces(trailed, limit)
     packed = (
         pieces.select("section_id", "run", "headings", "block_ord", "piece_ord", F.col("page").cast("int"), "piece")
         .repartition(partitions(spark), "section_id", "run")
@@ -121,7 +125,7 @@ def chunk_sections(blocks: DataFrame, sections: DataFrame, limit: int = MAX_CHUN
     )
     # A chunk holds at most ``limit`` characters, so these groups are small.
     ordered = F.sort_array(F.collect_list(F.struct("block_ord", "piece_ord", F.col("page").alias("page"), F.col("piece").alias("piece"))))
-    chunks = packed.groupBy("section_id", "run", "chunk_in_run").agg(ordered.alias("pieces"))
+    chunks = cut_lineage(packed.groupBy("section_id", "run", "chunk_in_run").agg(ordered.alias("pieces")))
 
     def add(pages: Column, piece: Column) -> Column:
         last = F.element_at(pages, -1)
@@ -137,7 +141,7 @@ def chunk_sections(blocks: DataFrame, sections: DataFrame, limit: int = MAX_CHUN
     runs = chunks.groupBy("section_id", "run").agg(F.count("*").alias("n"))
     before = Window.partitionBy("section_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     first = runs.select("section_id", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    trails = with_heading_trail(blocks).where("kind = 'heading' and block_ord = run").select("section_id", "run", "headings")
+    trails = trailed.where("kind = 'heading' and block_ord = run").select("section_id", "run", "headings")
     named = (
         sections.where("section_id is not null and path is not null")
         .dropDuplicates(["section_id"])

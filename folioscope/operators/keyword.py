@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.functions.words import BM25, RARE_MAX_PASSAGES
+from folioscope.session import cut_lineage
 
 
 def passages(index: DataFrame) -> DataFrame:
@@ -22,67 +23,45 @@ def passages(index: DataFrame) -> DataFrame:
     )
 
 
-def document_frequency(index: DataFrame) -> DataFrame:
-    """``term, passages``: in how many passages each term occurs, in title or body."""
-    both = F.concat_ws(" ", "title", "body")
-    return (
-        passages(index)
-        .select(F.explode(F.array_distinct(T.terms(both))).alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("passages"))
-    )
+def postings(index: DataFrame) -> DataFrame:
+    """``chunk_id, field, term, tf, field_length``: terms per field; the length counts all terms of the field.
 
+    The rows of a passage stay where its row is after the repeats are dropped, so this is one shuffle.
+    """
+    field = lambda name: F.struct(F.lit(name).alias("field"), T.tokens(F.col(name)).alias("words"))
+    fields = passages(index).select("chunk_id", F.explode(F.array(field("title"), field("body"))).alias("f"))
+    words = fields.select("chunk_id", "f.field", F.explode("f.words").alias("word"))
+    each = words.select("chunk_id", "field", T.word_term(F.col("word")).alias("term")).where("term is not null")
+    length = F.sum("tf").over(Window.partitionBy("chunk_id", "field"))
+    return each.groupBy("chunk_id", "field", "term").agg(F.count("*").alias("tf")).withColumn("field_length", length)
 
-def postings(index: DataFrame) -> DataFrame:
-    """``chunk_id, field, term, tf, field_length``: terms per field; the length counts all terms of the field."""
-    fields = passages(index).select(
-        "chunk_id",
-        F.explode(
-            F.array(
-                F.struct(F.lit("title").alias("field"), T.terms(F.col("title")).alias("terms")),
-                F.struct(F.lit("body").alias("field"), T.terms(F.col("body")).alias("terms")),
-            )
-        ).alias("f"),
-    )
-    each = fields.select(
-        "chunk_id", "f.field", F.size("f.terms").alias("field_length"), F.explode("f.terms").alias("term")
-    )
-    return each.groupBy("chunk_id", "field", "term", "field_length").agg(F.count("*").alias("tf"))
 
+def document_frequency(held: DataFrame) -> DataFrame:
+    """``term, passages``: in how many passages each term of the postings ``held`` occurs, in title or body."""
+    return held.select("chunk_id", "term").distinct().groupBy("term").agg(F.count("*").alias("passages"))
 
-def rare_words(index: DataFrame, questions: DataFrame, most: int = RARE_MAX_PASSAGES) -> DataFrame:
+
+def rare_words(held: DataFrame, questions: DataFrame, most: int = RARE_MAX_PASSAGES) -> DataFrame:
     """``id, position, word, term, passages``: the words of each question that occur in 1 to ``most`` passages."""
     words = (
         questions.where("id is not null")
         .dropDuplicates(["id"])
         .select("id", F.posexplode(T.tokens(F.col("question"))).alias("position", "word"))
-        .withColumn("term", T.term(F.col("word")))
+        .withColumn("term", T.word_term(F.col("word")))
     )
-    frequency = document_frequency(index).where(F.col("passages") <= most)
+    frequency = document_frequency(held).where(F.col("passages") <= most)
     return words.join(frequency, "term").select("id", "position", "word", "term", "passages")
 
 
-def bm25_scores(index: DataFrame, wanted: DataFrame) -> DataFrame:
+def bm25_scores(index: DataFrame, held: DataFrame, wanted: DataFrame) -> DataFrame:
     """``id, chunk_id, score`` for distinct (id, term) pairs of ``wanted``: summed over terms and fields.
 
-    Terms are weighted per field; the collection's statistics are two rows.  Only passages with a wanted term appear.
+    ``held`` are the postings of ``index``.  Terms are weighted per field; the collection's statistics are two rows.
+    Only passages with a wanted term appear.
     """
     k, b, d = BM25["k"], BM25["b"], BM25["d"]
-    held = postings(index)
-    n = F.sum("passages").over(Window.partitionBy(F.lit(0)))
-    lengths = (
-        passages(index)
-        .select(
-            F.explode(
-                F.array(
-                    F.struct(F.lit("title").alias("field"), F.size(T.terms(F.col("title"))).alias("length")),
-                    F.struct(F.lit("body").alias("field"), F.size(T.terms(F.col("body"))).alias("length")),
-                )
-            ).alias("f")
-        )
-        .groupBy("f.field")
-        .agg(F.count("*").alias("collection"), F.avg("f.length").alias("average"))
-    )
+    n = index.select("chunk_id").where("chunk_id is not null").distinct().count()
+    lengths = held.groupBy("field").agg((F.sum("tf") / F.lit(max(n, 1))).alias("average")).withColumn("collection", F.lit(n))
     terms = wanted.select("id", "term").distinct()
     in_field = held.join(terms.select("term").distinct(), "term", "left_semi")
     frequency = in_field.groupBy("field", "term").agg(F.count("*").alias("n"))
@@ -110,5 +89,5 @@ def best_passages(scores: DataFrame, k: int) -> DataFrame:
 
 def rare_word_match(index: DataFrame, questions: DataFrame) -> DataFrame:
     """``id, chunk_id, score``: the passage that best matches each question's rare words, looked up whole."""
-    wanted = rare_words(index, questions)
-    return best_passages(bm25_scores(index, wanted), 1).drop("rank")
+    held = cut_lineage(postings(index))
+    return best_passages(bm25_scores(index, held, rare_words(held, questions)), 1).drop("rank")

@@ -92,17 +92,17 @@ def body_text(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def tokenize_passages(spark: SparkSession, directory: str) -> DataFrame:
-    passages = keyword.passages(table(spark, directory, "keyword_index"))
-    each = passages.select("chunk_id", F.explode(T.terms(F.col("body"))).alias("term"))
-    return each.groupBy("chunk_id", "term").agg(F.count("*").alias("n"))
+    held = keyword.postings(table(spark, directory, "keyword_index")).where("field = 'body'")
+    return held.select("chunk_id", "term", F.col("tf").alias("n"))
 
 
 def doc_frequency(spark: SparkSession, directory: str) -> DataFrame:
-    return keyword.document_frequency(table(spark, directory, "keyword_index"))
+    return keyword.document_frequency(keyword.postings(table(spark, directory, "keyword_index")))
 
 
 def rare_words(spark: SparkSession, directory: str) -> DataFrame:
-    return keyword.rare_words(table(spark, directory, "keyword_index"), table(spark, directory, "questions"))
+    held = keyword.postings(table(spark, directory, "keyword_index"))
+    return keyword.rare_words(held, table(spark, directory, "questions"))
 
 
 def rare_word_match(spark: SparkSession, directory: str) -> DataFrame:
@@ -115,7 +115,8 @@ def _question_terms(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, directory: str) -> DataFrame:
-    scores = keyword.bm25_scores(table(spark, directory, "keyword_index"), _question_terms(spark, directory))
+    index = table(spark, directory, "keyword_index")
+    scores = keyword.bm25_scores(index, cut_lineage(keyword.postings(index)), _question_terms(spark, directory))
     return keyword.best_passages(scores, TOP_K)
 
 

@@ -26,20 +26,20 @@ def questions(spark, *texts):
 
 
 def test_document_frequency_counts_passages_once(spark):
-    got = dict(rows(keyword.document_frequency(index(spark))))
+    got = dict(rows(keyword.document_frequency(keyword.postings(index(spark)))))
     assert got["travel"] == 4 and got["cost-alerts"] == 1 and got["alerts"] == 1 and "for" not in got
 
 
 def test_rare_words_and_best_match(spark):
     q = questions(spark, "How do I set cost-alerts for travel?", "travel", "tarvel", None)
-    got = {(r.id, r.word) for r in keyword.rare_words(index(spark), q).collect()}
+    got = {(r.id, r.word) for r in keyword.rare_words(keyword.postings(index(spark)), q).collect()}
     assert got == {("q0", "set"), ("q0", "cost"), ("q0", "alerts"), ("q0", "cost-alerts")}
     assert [(r.id, r.chunk_id) for r in keyword.rare_word_match(index(spark), q).collect()] == [("q0", "c")]
 
 
 def test_empty_index(spark):
     empty = index(spark).limit(0)
-    assert rows(keyword.document_frequency(empty)) == [] and rows(keyword.rare_word_match(empty, questions(spark, "x"))) == []
+    assert rows(keyword.document_frequency(keyword.postings(empty))) == [] and rows(keyword.rare_word_match(empty, questions(spark, "x"))) == []
 
 
 def test_keyword_match_takes_the_last_slot(spark):
