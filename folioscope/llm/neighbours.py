@@ -49,12 +49,19 @@ def usable(vector: str | Column, dimensions: int) -> Column:
 
 
 def beam_search(
-    vectors: np.ndarray, edges: np.ndarray, entry: np.ndarray, queries: np.ndarray, beam: int, expand: int = 4
+    vectors: np.ndarray,
+    edges: np.ndarray,
+    entry: np.ndarray,
+    queries: np.ndarray,
+    beam: int,
+    expand: int = 4,
+    own: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Ids and similarities, best first, of the ``beam`` best points each query's search saw; -1 where it saw fewer.
 
     All queries advance together.  In each round every query opens its ``expand`` best unopened points of the beam and
-    merges their unseen neighbours into it; a query is done when its whole beam is open.
+    merges their unseen neighbours into it; a query is done when its whole beam is open.  A query that is itself a
+    point of the graph (``own`` is its number, else -1) starts from there, too.
     """
     n, points = len(queries), len(vectors)
     seen = np.zeros(n * (points + 1), bool)  # one more column: the place of no neighbour, always seen
@@ -67,6 +74,11 @@ def beam_search(
     width = min(len(entry), beam, STARTS)
     best = np.argpartition(-start, width - 1, axis=1)[:, :width]
     ids[:, :width], sims[:, :width], opened[:, :width] = entry[best], np.take_along_axis(start, best, 1), False
+    if own is not None and width < beam:
+        inside = np.flatnonzero((own >= 0) & ~(ids[:, :width] == own[:, None]).any(1))
+        ids[inside, width], opened[inside, width] = own[inside], False
+        sims[inside, width] = np.einsum("qd,qd->q", queries[inside], vectors[own[inside]])
+        seen[inside * (points + 1) + own[inside]] = True
     active = np.arange(n)
     while True:
         waiting = np.where(opened[active], -np.inf, sims[active])
@@ -367,7 +379,9 @@ def nearest(
             asking_ids, units = asking["id"].to_numpy(np.int64), _matrix(asking["unit"])
             for at in range(0, len(asking_ids), 1024):
                 some = asking_ids[at : at + 1024]
-                seen, _ = beam_search(points, edges, entry, units[at : at + 1024], SEARCH_BEAM)
+                own = np.minimum(np.searchsorted(ids, some), len(ids) - 1)
+                own = np.where(ids[own] == some, own, -1)
+                seen, _ = beam_search(points, edges, entry, units[at : at + 1024], SEARCH_BEAM, own=own)
                 seen = seen[:, : k + 1]  # one of them may be the vector itself
                 exact = np.einsum(
                     "qd,qkd->qk", units[at : at + 1024].astype(np.float64), points[seen].astype(np.float64)
