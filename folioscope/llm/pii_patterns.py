@@ -99,6 +99,8 @@ LOWER_GIVEN_FIRST = regex.compile(
 )
 LOWER_FAMILY_FIRST = regex.compile(rf"(?P<family>{_LOWER}),{S}(?P<given>{_LOWER})(?P<mid>){_LOWER_END}")
 LOWER_WORD = re.compile(r"(?<![\w@.+’'\-/])[a-zà-öø-ÿ][\w’'\-]+")
+LOWER_RUN = regex.compile(rf"(?<![\p{{L}}’'\-]){_LOWER}")
+LOWER_SHORTER = regex.compile(rf"({_LOWER})[’'\-](?=[’'\-])")
 TITLE = regex.compile(r"(?<!\p{L})(\p{L}+)\.?\s*\Z")
 HAS_DIGIT = re.compile(r"\d").search
 TOKEN = regex.compile(r"[\p{L}\p{N}]+(?:[’'\-][\p{L}\p{N}]+)*|\n|[^\s\p{L}\p{N}]")
@@ -343,39 +345,61 @@ def _name_site(
     return Site("name", start, end, _keys(chains), ("name",) if seed else ())
 
 
-def name_sites(text: str, known: dict[str, set[str]], is_name_part=None) -> list[Site]:
-    """Sites of personal names; ``is_name_part(kind, word)`` says which words without the usual case are worth a look."""
-    likely = is_name_part or (lambda kind, word: word in known["given" if kind == "g" else "family"])
-    sites = []
-
-    def add(start: int, match, order: str, style: str) -> None:
-        given, family = match["given"], text[start : match.end("family")] if order == "fg" else match["family"]
-        if style == "c" and given.isupper() and not given.endswith(".") and family.isupper():
-            style = "u"
-        core = family.lower().split()[-1]
-        if style == "l" and not (likely("g", given.lower()) and likely("f", core)):
-            return
-        if style == "u" and given.lower() not in known["given"] and core not in known["family"]:
-            return  # in a text all in capitals case tells nothing, and there are many such pairs of words
-        if site := _name_site(text, start, match.end(), given, family, order, bool(match["mid"]), style, known):
-            sites.append(site)
-
+def _name_at(
+    sites: list[Site], text: str, start: int, match, order: str, style: str, known: dict[str, set[str]], likely
+) -> None:
+    """Add the name of a match to the sites, if it is worth a look."""
+    given, family = match["given"], text[start : match.end("family")] if order == "fg" else match["family"]
+    if style == "c" and given.isupper() and not given.endswith(".") and family.isupper():
+        style = "u"
+    core = family.lower().split()[-1]
+    if style == "l" and not (likely("g", given.lower()) and likely("f", core)):
+        return
+    if style == "u" and given.lower() not in known["given"] and core not in known["family"]:
+        return  # in a text all in capitals case tells nothing, and there are many such pairs of words
+    if site := _name_site(text, start, match.end(), given, family, order, bool(match["mid"]), style, known):
+        sites.append(site)
+
+
+def capital_name_sites(text: str, known: dict[str, set[str]]) -> list[Site]:
+    """Sites of personal names that start with a capital."""
+    sites: list[Site] = []
     for capital in CAPITAL.finditer(text):
         at = capital.start()
         if match := GIVEN_FIRST.match(text, at):
-            add(at, match, "gf", "c")
+            _name_at(sites, text, at, match, "gf", "c", known, None)
         if match := FAMILY_FIRST.match(text, at):
-            add(at, match, "fg", "c")
+            _name_at(sites, text, at, match, "fg", "c", known, None)
             if particle := BEFORE_FAMILY.search(text, max(0, at - 16), at):
-                add(particle.start(), match, "fg", "c")
+                _name_at(sites, text, particle.start(), match, "fg", "c", known, None)
+    return sites
+
+
+def lower_name_sites(text: str, known: dict[str, set[str]], is_name_part=None) -> list[Site]:
+    """Sites of personal names in lower case; ``is_name_part(kind, word)`` says which words are worth a look."""
+    likely = is_name_part or (lambda kind, word: word in known["given" if kind == "g" else "family"])
+    sites: list[Site] = []
     hits = {w for w in set(LOWER_WORD.findall(text)) if likely("g", w) or likely("f", w)}
     if hits:
         for word in LOWER_WORD.finditer(text):
             if word.group() in hits:
                 if match := LOWER_GIVEN_FIRST.match(text, word.start()):
-                    add(word.start(), match, "gf", "l")
+                    _name_at(sites, text, word.start(), match, "gf", "l", known, likely)
                 if match := LOWER_FAMILY_FIRST.match(text, word.start()):
-                    add(word.start(), match, "fg", "l")
+                    _name_at(sites, text, word.start(), match, "fg", "l", known, likely)
                     if particle := BEFORE_FAMILY.search(text, max(0, word.start() - 16), word.start()):
-                        add(particle.start(), match, "fg", "l")
+                        _name_at(sites, text, particle.start(), match, "fg", "l", known, likely)
     return sites
+
+
+def lower_words(text: str) -> set[str]:
+    """Every word that ``lower_name_sites`` may ask for and that can be a part of a name, in lower case.
+
+    Where a sign follows a word, the patterns give up marks at its end.
+    """
+    words = set(LOWER_RUN.findall(text))
+    for word in [w for w in words if not w.isalpha()]:
+        words.add(word[:-1])
+        if shorter := LOWER_SHORTER.match(word):
+            words.add(shorter[1])
+    return {w.lower() for w in words}

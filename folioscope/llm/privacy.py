@@ -7,23 +7,31 @@ that the site holds an entity of that kind.  The first counts know only entities
 number with its country code or label, an address with a post code, a name on the staff list); each further round
 counts with what the round before found.  A site whose terms disclose more than the threshold is generalised to a
 placeholder of its kind; everything else stays as it is.
+
+The counts of all terms stay on Spark.  Texts are dealt into blocks; each block asks for the bits of the terms it has, by a
+join on the term, and decides with those alone.  A term that is in most texts is asked for once a block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.session import cut_lineage
 
-from .pii_patterns import KINDS, Site, address_sites, email_sites, name_sites, number_sites, plain, term_key
+from .pii_patterns import (
+    KINDS, Site, address_sites, capital_name_sites, email_sites, lower_name_sites, lower_words, number_sites, plain, term_key,
+)
 
-#: Most terms whose disclosure is kept, those that tell most; bounds what the driver and each task hold.
-MAX_TERMS = 1 << 18
+#: Characters of the texts of a block, which a task holds at a time with their sites; a longer text is a block of its own.
+BLOCK_CHARS = 1 << 20
 #: Bits a single term can add or take, and observations of ignorance added to each term.
 MOST_BITS = 7.0
 PRIOR_WEIGHT = 3.0
@@ -44,8 +52,16 @@ EMPTY = term_key("")
 PLACEHOLDER = {kind: f"[{kind.upper()}]" for kind in KINDS}
 
 
+class Learned(NamedTuple):
+    """The bits of every term of the corpus (``term, sites, bits_first, bits_second``), and the prior bits per kind."""
+
+    bits: DataFrame
+    prior: dict[tuple[str, str], float]
+    first: bool
+
+
 class Disclosure:
-    """Bits per term and kind; the prior bits per kind.
+    """Bits per term and kind, of the terms of one block; the prior bits per kind.
 
     The first model is learned from entities that are certain by form or by the staff list, so in it the form tells
     nothing, and that a name isn't on the list tells nothing against it.
@@ -85,15 +101,6 @@ class Disclosure:
         return found is not None and found[1][0] > 2
 
 
-def sites_of(text: str, known: dict[str, set[str]], model: Disclosure | None) -> list[Site]:
-    return [
-        *email_sites(text),
-        *number_sites(text),
-        *address_sites(text),
-        *name_sites(text, known, model.knows if model else None),
-    ]
-
-
 def decide(sites: list[Site], model: Disclosure) -> list[tuple[float, str, Site]]:
     """The entities among the sites of a text: above the threshold, and of overlapping ones that with the most bits.
 
@@ -113,65 +120,105 @@ def decide(sites: list[Site], model: Disclosure) -> list[tuple[float, str, Site]
     return sorted(taken, key=lambda x: x[2].start)
 
 
-SITES = "sites array<struct<kind:string,start:int,stop:int,seeds:array<string>,chains:array<array<bigint>>>>"
+SITE = "kind:string,start:int,stop:int,seeds:array<string>,chains:array<array<bigint>>"
+#: The sites before ``firm`` don't depend on a model; those from it on are lower-case names.
+TEXTS = f"block long, doc_id string, text string, firm int, sites array<struct<{SITE}>>"
+COUNTS = "kind string, term long, sites long, first long, second long"
+
+
+def _packed(site: Site) -> dict:
+    return {"kind": site.group, "start": site.start, "stop": site.end, "seeds": list(site.seeds), "chains": site.chains}
+
+
+def _unpacked(row) -> list[Site]:
+    return [Site(x["kind"], x["start"], x["stop"], [np.asarray(c).tolist() for c in x["chains"]], tuple(x["seeds"])) for x in row]
 
 
 def _all_sites(known: dict[str, set[str]]):
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            found = [
-                [
-                    {"kind": s.group, "start": s.start, "stop": s.end, "seeds": list(s.seeds), "chains": s.chains}
-                    for s in sites_of(plain(text)[0], known, None)
-                ]
-                for text in batch["text"]
-            ]
-            yield pd.DataFrame({"sites": [x for x in found if x]})
+            rows = []
+            for doc, text in batch.itertuples(index=False, name=None):
+                if held and held + len(text) > BLOCK_CHARS:
+                    block, held = block + 1, 0
+                held += len(text)
+                flat = plain(text)[0]
+                firm = [*email_sites(flat), *number_sites(flat), *address_sites(flat), *capital_name_sites(flat, known)]
+                lower = lower_name_sites(flat, known)
+                rows.append((block, doc, text, len(firm), [_packed(s) for s in (*firm, *lower)]))
+            yield pd.DataFrame(rows, columns=["block", "doc_id", "text", "firm", "sites"])
 
     return propose
 
 
-def _counter(model: Disclosure | None):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[tuple[str, int], list[int]] = {}
-
-        def emit() -> pd.DataFrame:
-            rows = [(g, t, n, a, b) for (g, t), (n, a, b) in counts.items()]
-            counts.clear()
-            return pd.DataFrame(rows, columns=["kind", "term", "sites", "first", "second"])
-
-        for batch in batches:
-            for row in batch["sites"]:
-                sites = [Site(x["kind"], x["start"], x["stop"], [c.tolist() for c in x["chains"]], tuple(x["seeds"])) for x in row]
-                found = {}
-                if model:
-                    found = {(s.group, s.start, s.end): kind for _, kind, s in decide(sites, model)}
-                for site in sites:
-                    kinds = GROUPS[site.group]
-                    kind = found.get((site.group, site.start, site.end))
-                    hit = [int(k == kind or k in site.seeds) for k in kinds] + [0]
-                    # The group's own total stands under the empty term.
-                    for term in {EMPTY, *(t for chain in site.chains for t in chain)}:
-                        entry = counts.get((site.group, term))
-                        if entry is None:
-                            entry = counts[site.group, term] = [0, 0, 0]
-                        entry[0] += 1
-                        entry[1] += hit[0]
-                        entry[2] += hit[1]
-            if len(counts) > FLUSH_TERMS:
-                yield emit()
-        if counts:
+def _name_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The terms by which a model knows the lower-case words of the texts as names."""
+    for batch in batches:
+        asked = set()
+        for block, texts in batch.groupby("block")["text"]:
+            words = {w for text in texts for w in lower_words(plain(text)[0])}
+            asked |= {(block, term_key(f"p.{kind} {w}")) for w in words for kind in "gf"}
+        yield pd.DataFrame(list(asked), columns=["block", "term"])
+
+
+def _by_block(
+    rows: DataFrame, terms: DataFrame, model: Learned, work: Callable[[pd.DataFrame, Disclosure], pd.DataFrame], schema: str
+) -> DataFrame:
+    """``work`` on the rows of each block, with the bits of the terms (``block, term``) that the block asks for."""
+    told = terms.select(F.col("block").alias("of"), "term").distinct().join(model.bits, "term")
+    prior, first = model.prior, model.first
+
+    def run(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        bits = known[["bits_first", "bits_second"]].to_numpy(np.float64)
+        return work(own, Disclosure(known["term"].to_numpy(), known["sites"].to_numpy(), bits, prior, first))
+
+    return rows.groupBy("block").cogroup(told.groupBy("of")).applyInPandas(run, schema)
+
+
+def _terms(rows: DataFrame) -> DataFrame:
+    return rows.select("block", F.explode(F.array_distinct(F.flatten(F.flatten("sites.chains")))).alias("term"))
+
+
+def _count(batches: Iterator[pd.DataFrame], model: Disclosure | None = None) -> Iterator[pd.DataFrame]:
+    counts: dict[tuple[str, int], list[int]] = {}
+
+    def emit() -> pd.DataFrame:
+        rows = [(g, t, n, a, b) for (g, t), (n, a, b) in counts.items()]
+        counts.clear()
+        return pd.DataFrame(rows, columns=["kind", "term", "sites", "first", "second"])
+
+    for batch in batches:
+        for row in batch["sites"]:
+            sites = _unpacked(row)
+            found = {}
+            if model:
+                found = {(s.group, s.start, s.end): kind for _, kind, s in decide(sites, model)}
+            for site in sites:
+                kinds = GROUPS[site.group]
+                kind = found.get((site.group, site.start, site.end))
+                hit = [int(k == kind or k in site.seeds) for k in kinds] + [0]
+                # The group's own total stands under the empty term.
+                for term in {EMPTY, *(t for chain in site.chains for t in chain)}:
+                    entry = counts.get((site.group, term))
+                    if entry is None:
+                        entry = counts[site.group, term] = [0, 0, 0]
+                    entry[0] += 1
+                    entry[1] += hit[0]
+                    entry[2] += hit[1]
+        if len(counts) > FLUSH_TERMS:
             yield emit()
+    yield emit()
 
-    return count
 
-
-def _learn(sites: DataFrame, model: Disclosure | None) -> Disclosure:
-    """Count the terms of all sites and turn the counts into bits, keeping the terms that tell most."""
+def _learn(sites: DataFrame, model: Learned | None) -> Learned:
+    """Count the terms of all sites and turn the counts into bits, those of every term seen twice or more."""
+    if model is None:
+        counted = sites.mapInPandas(_count, COUNTS)
+    else:
+        counted = _by_block(sites, _terms(sites), model, lambda rows, own: next(_count(iter([rows]), own)), COUNTS)
     counts = cut_lineage(
-        sites.mapInPandas(_counter(model), "kind string, term long, sites long, first long, second long")
-        .groupBy("kind", "term")
-        .agg(F.sum("sites").alias("sites"), F.sum("first").alias("first"), F.sum("second").alias("second"))
+        counted.groupBy("kind", "term").agg(F.sum("sites").alias("sites"), F.sum("first").alias("first"), F.sum("second").alias("second"))
     )
     share = {}
     total = {r["kind"]: (r["sites"], r["first"], r["second"]) for r in counts.where(F.col("term") == EMPTY).collect()}
@@ -186,17 +233,9 @@ def _learn(sites: DataFrame, model: Disclosure | None) -> Disclosure:
         odds = (F.col(name) + PRIOR_WEIGHT * p) / (F.col("sites") - F.col(name) + PRIOR_WEIGHT * (1 - p))
         bits = F.log2(odds / (p / (1 - p)))
         columns.append(F.greatest(F.lit(-MOST_BITS), F.least(F.lit(MOST_BITS), bits)).alias(f"bits_{name}"))
-    telling = F.col("sites") * F.greatest(F.abs("bits_first"), F.abs("bits_second"))
-    kept = (
-        counts.where((F.col("sites") >= 2) & (F.col("term") != EMPTY))
-        .select("term", "sites", *columns)
-        .orderBy(F.desc(telling), "term")
-        .limit(MAX_TERMS)
-        .toPandas()
-    )
-    bits = kept[["bits_first", "bits_second"]].to_numpy(np.float64)
     prior = {k: float(np.log2(p / (1 - p))) for k, p in share.items()}
-    return Disclosure(kept["term"].to_numpy(), kept["sites"].to_numpy(), bits, prior, model is None)
+    bits = counts.where((F.col("sites") >= 2) & (F.col("term") != EMPTY)).select("term", "sites", *columns)
+    return Learned(bits, prior, model is None)
 
 
 def known_parts(names: DataFrame) -> dict[str, set[str]]:
@@ -210,24 +249,38 @@ def known_parts(names: DataFrame) -> dict[str, set[str]]:
     return out
 
 
-def learn_disclosure(documents: DataFrame, names: DataFrame, rounds: int = ROUNDS, text: str = "text"):
-    """The disclosure model of a corpus, from all of its texts, and the known name parts."""
+def _final_sites(documents: DataFrame, names: DataFrame, rounds: int) -> tuple[DataFrame, Learned]:
+    """The sites of all texts (``block, doc_id, text, sites``) and what the corpus tells about their terms.
+
+    ``at`` and ``to`` of a site are its places in the text itself.
+    """
     known = known_parts(names)
-    texts = documents.select(F.col(text).alias("text")).where("length(text) > 0")
-    sites = cut_lineage(texts.mapInPandas(_all_sites(known), SITES))
-    model: Disclosure | None = None
+    texts = documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").where("length(text) > 0")
+    texts = cut_lineage(texts.mapInPandas(_all_sites(known), TEXTS))
+    sites = texts.where("size(sites) > 0").select("block", "sites")
+    model: Learned | None = None
     for _ in range(rounds):
         model = _learn(sites, model)
-    return model, known
 
+    def propose(rows: pd.DataFrame, own: Disclosure) -> pd.DataFrame:
+        knows = cache(own.knows)
+        final = []
+        for text, firm, row in zip(rows["text"], rows["firm"], rows["sites"], strict=True):
+            flat, places = plain(text)
+            found = [*_unpacked(row[:firm]), *lower_name_sites(flat, known, knows)]
+            spans = [(s.start, s.end) if places is None else (places[s.start], places[s.end - 1] + 1) for s in found]
+            final.append([_packed(s) | {"at": at, "to": to} for s, (at, to) in zip(found, spans, strict=True)])
+        return rows[["block", "doc_id", "text"]].assign(sites=final)
 
-def _entities(text: str, known: dict[str, set[str]], model: Disclosure) -> list[tuple[int, int, str, float]]:
-    """(start, end, kind, bits) of the entities of a text, as places in the text itself."""
-    flat, places = plain(text)
-    found = decide(sites_of(flat, known, model), model)
-    if places is None:
-        return [(s.start, s.end, kind, bits) for bits, kind, s in found]
-    return [(places[s.start], places[s.end - 1] + 1, kind, bits) for bits, kind, s in found]
+    schema = f"block long, doc_id string, text string, sites array<struct<{SITE},at:int,to:int>>"
+    words = texts.mapInPandas(_name_words, "block long, term long")
+    return cut_lineage(_by_block(texts, words, model, propose, schema)), model
+
+
+def _entities(row, model: Disclosure) -> list[tuple[int, int, str, float]]:
+    """(start, end, kind, bits) of the entities among the sites of a text, as places in the text itself."""
+    spans = {(x["start"], x["stop"]): (x["at"], x["to"]) for x in row}
+    return [(*spans[s.start, s.end], kind, bits) for bits, kind, s in decide(_unpacked(row), model)]
 
 
 def find_entities(documents: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -235,23 +288,20 @@ def find_entities(documents: DataFrame, names: DataFrame, rounds: int = ROUNDS)
 
     Null and empty texts have none.  Rows repeating a doc_id count once; rows without a doc_id are left out.
     """
-    model, known = learn_disclosure(documents, names, rounds)
+    sites, model = _final_sites(documents, names, rounds)
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (doc, kind, start, end, bits)
-                for doc, text in batch.itertuples(index=False, name=None)
-                for start, end, kind, bits in _entities(text, known, model)
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "start_at", "end_at", "bits"])
-
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return (
-        texts.where("doc_id is not null and length(text) > 0")
-        .mapInPandas(find, "doc_id long, pii_type string, start_at int, end_at int, bits double")
-        .dropDuplicates(["doc_id", "pii_type", "start_at"])
-    )
+    def find(texts: pd.DataFrame, own: Disclosure) -> pd.DataFrame:
+        rows = [
+            (doc, kind, start, end, bits)
+            for doc, row in zip(texts["doc_id"], texts["sites"], strict=True)
+            for start, end, kind, bits in _entities(row, own)
+        ]
+        return pd.DataFrame(rows, columns=["doc_id", "pii_type", "start_at", "end_at", "bits"])
+
+    sites = sites.where("doc_id is not null and size(sites) > 0").select("block", "doc_id", "sites")
+    schema = "doc_id string, pii_type string, start_at int, end_at int, bits double"
+    found = _by_block(sites, _terms(sites), model, find, schema)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long")).dropDuplicates(["doc_id", "pii_type", "start_at"])
 
 
 def sanitise(documents: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -259,18 +309,20 @@ def sanitise(documents: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> Da
 
     Null and empty texts stay as they are; every row stays a row.
     """
-    model, known = learn_disclosure(documents, names, rounds)
-
-    def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, text in batch.itertuples(index=False, name=None):
-                parts, at, n = [], 0, 0
-                for start, end, kind, _ in _entities(text, known, model) if text else []:
-                    parts += [text[at:start], PLACEHOLDER[kind]]
-                    at, n = end, n + 1
-                rows.append((doc, "".join([*parts, text[at:]]) if text else text, n))
-            yield pd.DataFrame(rows, columns=["doc_id", "text", "replaced"]).astype({"doc_id": "Int64"})
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(mask, "doc_id long, text string, replaced int")
+    sites, model = _final_sites(documents, names, rounds)
+
+    def mask(texts: pd.DataFrame, own: Disclosure) -> pd.DataFrame:
+        rows = []
+        for doc, text, row in zip(texts["doc_id"], texts["text"], texts["sites"], strict=True):
+            parts, at, n = [], 0, 0
+            for start, end, kind, _ in _entities(row, own):
+                parts += [text[at:start], PLACEHOLDER[kind]]
+                at, n = end, n + 1
+            rows.append((doc, "".join([*parts, text[at:]]), n))
+        return pd.DataFrame(rows, columns=["doc_id", "text", "replaced"])
+
+    masked = _by_block(sites, _terms(sites), model, mask, "doc_id string, text string, replaced int")
+    empty = documents.where("text is null or length(text) = 0")
+    return masked.withColumn("doc_id", F.col("doc_id").cast("long")).unionByName(
+        empty.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).alias("replaced"))
+    )

@@ -49,6 +49,31 @@ def test_entities_are_found_and_the_rest_is_kept(spark):
     assert masked[-1].text is None and masked[-2].text == "" and masked[-3].text == "w " * 100_000 and masked[-3].replaced == 0
 
 
+def test_no_term_is_dropped_and_blocks_change_nothing(spark, monkeypatch):
+    data, truth = corpus()
+    # A name off the list, seen a few times among many, is still known in lower case.
+    rare = [(1000 + i, f"Emergency contact is Quilla Zembrano (+1 415 555 01{i:02}). Thanks.") for i in range(6)]
+    lower = [(2000, "Emergency contact is quilla zembrano (+1 415 555 0199). Thanks.")]
+    df = spark.createDataFrame(data + rare + lower, DOC)
+    whole = rows(privacy.find_entities(df, known(spark)).select("doc_id", "pii_type", "start_at"))
+    assert (2000, "name", 21) in whole
+    monkeypatch.setattr(privacy, "MAX_TERMS", 100, raising=False)
+    monkeypatch.setattr(privacy, "BLOCK_CHARS", 5000, raising=False)
+    assert rows(privacy.find_entities(df, known(spark)).select("doc_id", "pii_type", "start_at")) == whole
+
+
+def test_lower_words_hold_every_word_that_is_asked_for():
+    text = "by quilla zembrano-, smith-@x o’neil--2 d'arc'-/ and de la mcDonald, ana-"
+    asked = set()
+
+    def ask(kind, word):
+        asked.add(word)
+        return True
+
+    pii_patterns.lower_name_sites(text, {"given": set(), "family": set()}, ask)
+    assert {w.lower() for w in asked if not any(c.isdigit() for c in w)} <= pii_patterns.lower_words(text)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOC)
     assert rows(privacy.find_entities(empty, known(spark))) == [] and rows(privacy.sanitise(empty, known(spark).limit(0))) == []
