@@ -278,3 +278,12 @@ def laid_out(blocks: DataFrame) -> DataFrame:
         F.lit(11.0).alias("size"),
         F.least(F.length("str") * 5.5, F.lit(115.0)).cast("double").alias("width"),
     )
+
+
+def section_pages(blocks: DataFrame) -> DataFrame:
+    """``section_id, start_page, end_page``: the first and last page that each section has a block on."""
+    return (
+        blocks.where("section_id is not null")
+        .groupBy("section_id")
+        .agg(F.min("page").alias("start_page"), F.max("page").alias("end_page"))
+    )

@@ -146,3 +146,22 @@ def round_robin(hits: DataFrame, seen: DataFrame, most: int) -> DataFrame:
         .where(F.col("position") <= most)
         .select("query", "position", "chunk_id")
     )
+
+
+def one_after_another(front: DataFrame, back: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``query, rank, chunk_id``: the passages of ``back`` after those of ``front``, without ids that are no chunk.
+
+    Both have query, rank, chunk_id.
+    """
+    held = chunks.select("chunk_id").distinct()
+    both = front.select("query", F.lit(0).alias("list"), "rank", "chunk_id").unionByName(
+        back.select("query", F.lit(1).alias("list"), "rank", "chunk_id")
+    )
+    order = Window.partitionBy("query").orderBy("list", "rank")
+    known = both.join(held, "chunk_id", "left_semi")
+    return known.withColumn("rank", F.row_number().over(order)).select("query", "rank", "chunk_id")
+
+
+def cites_added(cited: DataFrame, added: DataFrame) -> DataFrame:
+    """``row_id``: the answers that cite any added passage; ``cited`` has row_id, query, chunk_id, ``added`` query, chunk_id."""
+    return cited.join(added, ["query", "chunk_id"], "left_semi").select("row_id").distinct()

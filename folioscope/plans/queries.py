@@ -177,6 +177,40 @@ def round_robin_research(spark: SparkSession, directory: str) -> DataFrame:
     return semantic.round_robin(hits, seen, MAX_EXTRA_PASSAGES)
 
 
+def second_passages(spark: SparkSession, directory: str) -> DataFrame:
+    """The passages of the second call: those of the first search, then the added ones."""
+    return semantic.one_after_another(_ranked(spark, directory), _added(spark, directory), table(spark, directory, "chunks"))
+
+
+def closest_after_research(spark: SparkSession, directory: str) -> DataFrame:
+    """The closest sections over the added passages, then those of the first search."""
+    chunks = table(spark, directory, "chunks")
+    both = semantic.one_after_another(_added(spark, directory), _ranked(spark, directory), chunks)
+    return semantic.closest_sections(both, chunks)
+
+
+def _added(spark: SparkSession, directory: str) -> DataFrame:
+    return round_robin_research(spark, directory).withColumnRenamed("position", "rank")
+
+
+def cited_added(spark: SparkSession, directory: str) -> DataFrame:
+    """Whether an answer cites an added passage: its citation numbers are dealt to the second call's passages of one query."""
+    added = cut_lineage(_added(spark, directory))
+    chunks = table(spark, directory, "chunks")
+    passages = semantic.one_after_another(_ranked(spark, directory), added, chunks)
+    queries = max(1, -(-_chunk_ids(spark, directory).count() // QUERY_STEP))
+    sizes = passages.groupBy("query").agg(F.max("rank").alias("size"))
+    numbers = F.explode_outer(grounding.cited_numbers(F.col("parts"))).alias("number")
+    each = _answers(spark, directory).select("row_id", numbers).withColumn(
+        "query", (F.pmod("row_id", F.lit(queries)) * QUERY_STEP).cast("int")
+    )
+    dealt = each.join(sizes, "query").withColumn("rank", F.pmod(F.col("row_id") * 5 + F.col("number") - 1, F.col("size")) + 1)
+    found = semantic.cites_added(dealt.join(passages, ["query", "rank"]), added).withColumn("cites_added", F.lit(True))
+    return each.select("row_id").distinct().join(found, "row_id", "left").select(
+        "row_id", F.coalesce("cites_added", F.lit(False)).alias("cites_added")
+    )
+
+
 # Index store.
 
 
@@ -271,6 +305,20 @@ def gate_verdict(spark: SparkSession, directory: str) -> DataFrame:
     return _answers(spark, directory).select("row_id", grounding.verdict(text, F.greatest(cited, F.lit(0)), gaps).alias("verdict"))
 
 
+def composed_gate(spark: SparkSession, directory: str) -> DataFrame:
+    """Every reply through the whole gate: its parts with the citations that resolve, and its gap lines after them."""
+    answers = _answers(spark, directory)
+    valid = resolve_citations(spark, directory).groupBy("row_id", F.col("part").alias("part_ord")).agg(
+        F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("position", "n"))), lambda x: x["n"])).alias("citations")
+    )
+    none = F.array().cast("array<string>")
+    texts = F.when(F.size("parts") > 0, F.transform("parts", lambda p: p["text"])).otherwise(F.array("answer"))
+    lines = F.transform(F.coalesce("gaps", none), lambda g: F.concat(F.lit("\n- **GAP:** "), F.coalesce(g, F.lit(""))))
+    parts = answers.select("row_id", F.posexplode(F.concat(texts, F.array(F.array_join(lines, "")))).alias("part_ord", "text"))
+    gated = grounding.gate(parts.join(valid, ["row_id", "part_ord"], "left"))
+    return gated.withColumn("gaps", F.array_join("gaps", "\n"))
+
+
 def resolve_citations(spark: SparkSession, directory: str) -> DataFrame:
     """Each citation number of an answer's parts as a quote of a block of one of five chunks, every seventh one false."""
     blocks = cut_lineage(grounding.citable_blocks(table(spark, directory, "chunks")))
@@ -327,6 +375,25 @@ def retrieval_summary(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def search_eval(spark: SparkSession, directory: str) -> DataFrame:
+    """The ranking alone and with the keyword safety net, per answerable question."""
+    read = lambda name: table(spark, directory, name)
+    ranked, targets = cut_lineage(bm25_topk(spark, directory)), cut_lineage(evidence_chunks(spark, directory))
+    return evaluate.search_evaluation(ranked, rare_word_match(spark, directory), targets, read("questions"), read("chunks"))
+
+
+def search_summary(spark: SparkSession, directory: str) -> DataFrame:
+    return search_eval(spark, directory).agg(
+        F.count("*").alias("questions"),
+        F.count("ranked_rank").alias("ranked_hits"),
+        F.count("search_rank").alias("search_hits"),
+        F.count_if("section_hit").alias("section_hits"),
+        F.count("keyword_net").alias("net_used"),
+        F.count_if(F.col("keyword_net") == "added the answer").alias("net_added_answer"),
+        F.count_if(F.col("ranked_rank").isNotNull() & F.col("search_rank").isNull()).alias("net_pushed_out"),
+    )
+
+
 def _graded(spark: SparkSession, directory: str) -> DataFrame:
     return evaluate.graded(table(spark, directory, "answer_eval"), table(spark, directory, "questions"))
 
@@ -383,6 +450,10 @@ def trace_costs(spark: SparkSession, directory: str) -> DataFrame:
 # Layout.
 
 
+def section_pages(spark: SparkSession, directory: str) -> DataFrame:
+    return layout.section_pages(table(spark, directory, "blocks"))
+
+
 def line_texts(spark: SparkSession, directory: str) -> DataFrame:
     """Blocks laid out as positioned words, four to a line, and put together again as lines."""
     return layout.lines_from_items(layout.laid_out(table(spark, directory, "blocks"))).select(
@@ -404,11 +475,12 @@ _ALL = (
     rendered_blocks, heading_trail, long_text_split, chunk_sections, chunk_stats, body_text,
     tokenize_passages, doc_frequency, rare_words, rare_word_match, bm25_topk,
     semantic_topk, vector_products, hybrid_search, closest_sections, round_robin_research, index_roundtrip,
+    second_passages, closest_after_research, cited_added,
     citable_blocks, gap_lines, dedupe_gaps, searchable_gaps, uncited_claims, restatements, passage_remarks, answer_texts,
-    gate_verdict, resolve_citations,
-    evidence_chunks, missing_expectations, retrieval_eval, retrieval_summary, grade_answers, outcome_counts,
+    gate_verdict, resolve_citations, composed_gate,
+    evidence_chunks, missing_expectations, retrieval_eval, retrieval_summary, search_eval, search_summary, grade_answers, outcome_counts,
     unknown_answers, reading_checks, answer_length_medians, trace_costs,
-    line_texts, line_geometry, indent_margins,
+    line_texts, line_geometry, indent_margins, section_pages,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = oracle.SQL

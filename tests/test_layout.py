@@ -60,3 +60,8 @@ def test_continuation_across_pages(spark):
     finished = [*start, body(2, "The sentence ends at the margin.", y=40), body(0, "the next page.", page=2, y=700)]
     got = layout.section_blocks(spark.createDataFrame(finished, LINE)).orderBy("block_ord").collect()
     assert got[1].continued is None
+
+
+def test_section_pages(spark):
+    blocks = spark.createDataFrame([("a", 3), ("a", 1), ("a", None), ("b", None), (None, 9)], "section_id string, page int")
+    assert sorted(tuple(r) for r in layout.section_pages(blocks).collect()) == [("a", 1, 3), ("b", None, None)]

@@ -76,3 +76,15 @@ def test_round_robin_and_closest_sections(spark):
     )
     got = [tuple(r)[1:] for r in semantic.closest_sections(ranked, chunks).orderBy("position").collect()]
     assert got == [(1, "s1", "T1", 3), (2, "s2", "T3", None), (3, "s3", None, None)]
+
+
+def test_added_passages_join_the_first_ones(spark):
+    chunks = spark.createDataFrame([(c, s, c, [(1,)]) for c, s in ("aA", "bB", "cA", "dD")], "chunk_id string, section_path string, title string, pages array<struct<page:int>>")
+    first = spark.createDataFrame([(0, 1, "a"), (0, 2, "b"), (50, 1, "b")], "query int, rank int, chunk_id string")
+    added = spark.createDataFrame([(0, 1, "gone"), (0, 2, "d"), (0, 3, "c")], "query int, rank int, chunk_id string")
+    second = sorted(tuple(r) for r in semantic.one_after_another(first, added, chunks).collect())
+    assert second == [(0, 1, "a"), (0, 2, "b"), (0, 3, "d"), (0, 4, "c"), (50, 1, "b")]
+    closest = semantic.closest_sections(semantic.one_after_another(added, first, chunks), chunks)
+    assert sorted(tuple(r)[:3] for r in closest.collect()) == [(0, 1, "D"), (0, 2, "A"), (0, 3, "B"), (50, 1, "B")]
+    cited = spark.createDataFrame([(7, 0, "c"), (7, 0, "a"), (8, 0, "a"), (9, 50, "d")], "row_id int, query int, chunk_id string")
+    assert [r[0] for r in semantic.cites_added(cited, added).collect()] == [7]
