@@ -32,7 +32,7 @@ def plain_source(source: str | Column) -> Column:
 
 
 def distinct_texts(sized: DataFrame) -> DataFrame:
-    """One row per distinct text: the document with the lowest doc_id stands for its copies, in whatever source."""
+    """One row per distinct text: of the given documents that with the lowest doc_id stands for its copies."""
     return (
         sized.where("doc_id is not null and tokens > 0")
         .groupBy("text_key")
@@ -41,14 +41,8 @@ def distinct_texts(sized: DataFrame) -> DataFrame:
     )
 
 
-def source_plan(texts: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """Per target source: target_share, max_repeats, texts, tokens available, wanted tokens and expected copies.
-
-    Without ``total_tokens`` the mixture is as large as it can be with every source that has texts at its share (shares
-    of sources without texts are spread over the others in proportion).  With a larger total, a source gives what its
-    ``max_repeats`` allow, and the shares reached differ from the targets.
-    """
-    wanted = (
+def _wanted(targets: DataFrame) -> DataFrame:
+    return (
         targets.select(
             plain_source("source").alias("source"), F.col("target_share").cast("double"), F.col("max_repeats").cast("int")
         )
@@ -56,6 +50,16 @@ def source_plan(texts: DataFrame, targets: DataFrame, total_tokens: int | None =
         .groupBy("source")
         .agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     )
+
+
+def source_plan(texts: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
+    """Per target source: target_share, max_repeats, texts, tokens available, wanted tokens and expected copies.
+
+    Without ``total_tokens`` the mixture is as large as it can be with every source that has texts at its share (shares
+    of sources without texts are spread over the others in proportion).  With a larger total, a source gives what its
+    ``max_repeats`` allow, and the shares reached differ from the targets.
+    """
+    wanted = _wanted(targets)
     there = texts.groupBy("source").agg(F.count("*").alias("texts"), F.sum("tokens").alias("available"))
     everything = Window.partitionBy(F.lit(0))  # one row per target source
     share = F.col("target_share") / F.sum(F.when(F.col("available") > 0, F.col("target_share"))).over(everything)
@@ -100,13 +104,16 @@ def mixture(
     """The mixture, one row per text drawn (source, doc_id, tokens, copies), and the plan per source.
 
     ``sized`` has doc_id, source, text_key (equal for equal texts) and tokens.  No text is drawn more than its source's
-    max_repeats times; copies of a text under other doc_ids count as that text.  Texts without tokens, rows without a
+    max_repeats times; copies of a text under other doc_ids count as that text, which belongs to the source of its lowest
+    doc_id among those in sources with a target.  Texts without tokens, rows without a
     doc_id, and sources without a target are left out; sources without texts contribute nothing.  An empty table gives
     an empty mixture.
     """
     texts = cut_lineage(
-        distinct_texts(sized.select("doc_id", plain_source("source").alias("source"), "text_key", "tokens")).where(
-            "source is not null"
+        distinct_texts(
+            sized.select("doc_id", plain_source("source").alias("source"), "text_key", "tokens").join(
+                _wanted(targets).select("source"), "source", "left_semi"
+            )
         )
     )
     plan = cut_lineage(source_plan(texts, targets, total_tokens))

@@ -43,3 +43,12 @@ def test_empty_tables(spark):
         drawn, plan = mixing.mixture(d, t)
         assert rows(drawn) == []
         assert all(r.tokens_used == 0 for r in mixing.share_report(drawn, plan).collect())
+
+
+def test_a_text_counts_where_a_copy_has_a_target(spark):
+    copies = [(-3, None, "s0", 50), (-2, "other", "s1", 50), (-1, None, "gone", 50), (5000, "small", "s0", 50)]
+    some = documents(spark).where("doc_id < 9000").unionByName(spark.createDataFrame(copies, SIZED))
+    drawn, plan = mixing.mixture(some, targets(spark))
+    got = {r.source: r for r in plan.collect()}
+    assert got["small"].texts == 60 and got["small"].available == 60 * 50
+    assert all(r.doc_id >= 0 for r in drawn.collect())
