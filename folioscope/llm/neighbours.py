@@ -1,10 +1,12 @@
 """Problem 4: the most similar vectors of every vector, by robust-pruned directed graphs.
 
-The vectors are dealt into shards of bounded size: cells around centres fitted on a bounded sample, a full cell being
-split by hash.  Each shard is one graph, built in one task: greedy searches from the entry propose neighbours of a
-point, and pruning keeps of them the nearest and those no kept one is much nearer to, so that edges stay diverse.
-Every vector is then searched for by beam in the graphs of the cells nearest to it.  Copies of a vector are indexed and
-searched once and expanded at the end.  All graph work runs on many points at a time in numpy.
+The vectors are dealt into overlapping cells of bounded size: a vector belongs to the cell of its nearest centre and to
+those of all centres nearly as near, so that vectors close to each other share a cell wherever the borders run.  Each
+cell is one graph, built in one task: greedy searches propose neighbours of a point, and pruning keeps of them the
+nearest and those no kept one is much nearer to, so that edges stay diverse.  Every vector is then searched for by beam
+in the graph of each cell it belongs to, from its own place there, and keeps the best it found in any.  So a vector is
+shipped once per cell, and neither graphs nor queries travel.  Copies of a vector are indexed and searched once and
+expanded at the end.  All graph work runs on many points at a time in numpy.
 """
 
 from __future__ import annotations
@@ -18,25 +20,35 @@ from pyspark.sql import functions as F
 
 from folioscope.session import cut_lineage
 
-#: Vectors of one shard, and queries searched for by one task; bound a task's memory.
-SHARD_VECTORS = 32_768
-QUERY_BLOCK = 8192
-#: Vectors in the sample the cell centres are fitted on, and the most centres; both bound what the driver holds.
+#: Vectors a cell should have, and the most it has before it is split again; the latter bounds a task's memory.
+CELL_VECTORS = 2048
+MOST_VECTORS = 8192
+#: A vector belongs to the cells whose centres are within this factor of its distance to the nearest, at most so many.
+CLOSE = 1.15
+MOST_CELLS = 8
+#: What this comes to, about; used to choose the number of centres.
+COPIES = 2.5
+#: Vectors in the sample the centres of a cell are fitted on, and centres fitted in one cell.
 SAMPLE_VECTORS = 16_384
-MAX_CELLS = 1024
-#: Cells whose graphs are searched for a vector.
-PROBES = 8
-#: Edges of a point, beam of a search while building and while searching, and the relaxation of the pruning rule.
-DEGREE = 20
-BUILD_BEAM = 40
-SEARCH_BEAM = 40
+LEAST_CENTRES, MOST_CENTRES = 4, 1024
+#: Cells split in one pass, and centres fitted in it, which is what the driver and the tasks hold (17 MB at 64 numbers).
+SPLIT_CELLS, PASS_CENTRES = 16_384, 65_536
+MOST_PASSES = 12
+#: Edges of a point, and the beam of a search while a point is inserted, while its edges are refined, and at the end.
+DEGREE = 16
+BUILD_BEAM = 24
+REFINE_BEAM = 32
+SEARCH_BEAM = 24
+#: The relaxation of the pruning rule.
 ALPHA = 1.2
 #: Points a search starts from (the best few of them), and the least number of edges that lead to a point.
 ENTRIES = 256
 STARTS = 8
 LEAST_IN_EDGES = 3
-#: Points inserted at once while building: they see the graph of all before them.
-INSERT_BATCH = 512
+#: Points the graph starts with, points inserted at once (they see the graph of all before them), and points searched at once.
+FIRST_POINTS = 512
+INSERT_BATCH = 2048
+SEARCH_BATCH = 512
 
 
 def usable(vector: str | Column, dimensions: int) -> Column:
@@ -64,45 +76,49 @@ def beam_search(
     point of the graph (``own`` is its number, else -1) starts from there, too.
     """
     n, points = len(queries), len(vectors)
-    seen = np.zeros(n * (points + 1), bool)  # one more column: the place of no neighbour, always seen
-    seen.reshape(n, -1)[:, points] = True
-    seen.reshape(n, -1)[:, entry] = True
-    ids = np.full((n, beam), -1, np.int32)
-    sims = np.full((n, beam), -np.inf, np.float32)
+    seen = np.full(n * (points + 1), -1, np.int32)  # one more column: the place of no neighbour, always seen
+    grid = seen.reshape(n, -1)
+    grid[:, points] = 0
+    grid[:, entry] = 0
+    best_ids = np.full((n, beam), -1, np.int32)
+    best_sims = np.full((n, beam), -np.inf, np.float32)
     opened = np.ones((n, beam), bool)
     start = queries @ vectors[entry].T
     width = min(len(entry), beam, STARTS)
-    best = np.argpartition(-start, width - 1, axis=1)[:, :width]
-    ids[:, :width], sims[:, :width], opened[:, :width] = entry[best], np.take_along_axis(start, best, 1), False
+    first = np.argpartition(-start, width - 1, axis=1)[:, :width]
+    best_ids[:, :width], best_sims[:, :width], opened[:, :width] = entry[first], np.take_along_axis(start, first, 1), False
     if own is not None and width < beam:
-        inside = np.flatnonzero((own >= 0) & ~(ids[:, :width] == own[:, None]).any(1))
-        ids[inside, width], opened[inside, width] = own[inside], False
-        sims[inside, width] = np.einsum("qd,qd->q", queries[inside], vectors[own[inside]])
-        seen[inside * (points + 1) + own[inside]] = True
-    active = np.arange(n)
-    while True:
-        waiting = np.where(opened[active], -np.inf, sims[active])
+        inside = np.flatnonzero((own >= 0) & ~(best_ids[:, :width] == own[:, None]).any(1))
+        best_ids[inside, width], opened[inside, width] = own[inside], False
+        best_sims[inside, width] = np.einsum("qd,qd->q", queries[inside], vectors[own[inside]])
+        grid[inside, own[inside]] = 0
+    active, ids, sims, mine = np.arange(n), best_ids.copy(), best_sims.copy(), queries
+    while len(active):
+        waiting = np.where(opened, -np.inf, sims)
         pick = np.argpartition(-waiting, min(expand, beam) - 1, axis=1)[:, :expand]
         value = np.take_along_axis(waiting, pick, 1)
-        go = (value > -np.inf).any(1)
-        active, pick, value = active[go], pick[go], value[go]
-        if not len(active):
-            break
-        opened[active[:, None], pick] = True
-        source = np.where(value > -np.inf, ids[active[:, None], pick], -1)
-        found = np.where(source[:, :, None] >= 0, edges[source], -1).reshape(len(active), -1)
+        go = value.max(1) > -np.inf
+        if not go.all():
+            best_ids[active[~go]], best_sims[active[~go]] = ids[~go], sims[~go]
+            active, ids, sims, opened, mine, pick, value = (x[go] for x in (active, ids, sims, opened, mine, pick, value))
+            if not len(active):
+                break
+        np.put_along_axis(opened, pick, True, 1)
+        found = edges[np.take_along_axis(ids, pick, 1)]
+        found[value == -np.inf] = points
+        found = found.reshape(len(active), -1)
         found[found < 0] = points
-        place = (active[:, None] * (points + 1) + found).ravel()
-        place = place[~seen[place]]
-        seen[place] = True
-        place = np.unique(place)
-        row, node = np.divmod(place, points + 1)
-        similar = np.einsum("fd,fd->f", queries[row], vectors[node])
-        worst = sims.min(1)
-        good = similar > worst[row]  # only what beats the worst of the beam can enter it
+        place = (found + (active * (points + 1))[:, None]).ravel()
+        new = np.flatnonzero(seen[place] < 0)
+        place, number = place[new], np.arange(len(new), dtype=np.int32)
+        seen[place] = number  # of a point that several edges lead to, the last stays
+        new = new[seen[place] == number]
+        row, node = new // found.shape[1], found.ravel()[new]
+        similar = np.einsum("fd,fd->f", mine[row], vectors[node])
+        good = similar > sims.min(1)[row]  # only what beats the worst of the beam can enter it
         row, node, similar = row[good], node[good], similar[good]
         # Lay the new points of each query side by side and merge them with its beam.
-        count = np.bincount(row, minlength=n)
+        count = np.bincount(row, minlength=len(active))
         some = np.flatnonzero(count)
         if not len(some):
             continue
@@ -118,8 +134,8 @@ def beam_search(
         ids[some] = np.take_along_axis(all_ids, order, 1)
         sims[some] = np.take_along_axis(all_sims, order, 1)
         opened[some] = np.take_along_axis(all_open, order, 1)
-    order = np.argsort(-sims, axis=1, kind="stable")
-    return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+    order = np.argsort(-best_sims, axis=1, kind="stable")
+    return np.take_along_axis(best_ids, order, 1), np.take_along_axis(best_sims, order, 1)
 
 
 def robust_prune(
@@ -154,7 +170,7 @@ def robust_prune(
     return edges
 
 
-def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 7):
+def build_graph(vectors: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, seed: int = 7):
     """Out-edges of every point (-1 for none) and the entry points of a robust-pruned graph over unit vectors.
 
     A point has ``degree`` edges of its own and room for as many that lead back to points which chose it; when the room
@@ -165,31 +181,29 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEA
     centre = int(np.argmax(vectors @ vectors.mean(0)))
     entry = np.unique(np.concatenate([[centre], order[: ENTRIES - 1]])).astype(np.int32)
     edges = np.full((n, 2 * degree), -1, np.int32)
-    first = order[: min(n, INSERT_BATCH)]
+    first = order[: min(n, FIRST_POINTS)]
     near = vectors[first] @ vectors[first].T
     width = min(len(first), 2 * degree)
     nearest = np.argpartition(-near, width - 1, axis=1)[:, :width]
     edges[first, :degree] = robust_prune(vectors, first, first[nearest], degree, alpha)
     at = len(first)
     while at < n:
-        batch = order[at : at + min(4 * INSERT_BATCH, at)]
+        batch = order[at : at + min(INSERT_BATCH, at)]
         at += len(batch)
-        seen, _ = beam_search(vectors, edges, entry, vectors[batch], beam)
-        edges[batch, :degree] = robust_prune(vectors, batch, seen, degree, alpha)
+        edges[batch, :degree] = robust_prune(vectors, batch, _seen(vectors, edges, entry, batch, BUILD_BEAM), degree, alpha)
         add_back_edges(vectors, edges, batch, degree, alpha)
-    # A second round lets early points see late ones.
-    for at in range(0, n, 4 * INSERT_BATCH):
-        batch = order[at : at + 4 * INSERT_BATCH]
-        seen, _ = beam_search(vectors, edges, entry, vectors[batch], beam)
-        edges[batch, :degree] = robust_prune(vectors, batch, np.concatenate([seen, edges[batch]], 1), degree, alpha)
+    # A second round lets early points see late ones, each from its own place.
+    for at in range(0, n, INSERT_BATCH):
+        batch = order[at : at + INSERT_BATCH]
+        found = np.concatenate([_seen(vectors, edges, entry, batch, REFINE_BEAM, batch), edges[batch]], 1)
+        edges[batch, :degree] = robust_prune(vectors, batch, found, degree, alpha)
         edges[batch, degree:] = -1
         add_back_edges(vectors, edges, batch, degree, alpha)
     # A point that no edge leads to would never be found: its nearest neighbours get one edge more.
     lonely = np.flatnonzero(np.bincount(edges[edges >= 0], minlength=n) < LEAST_IN_EDGES).astype(np.int32)
     if len(lonely) and n > 1:
         extra = np.full((n, LEAST_IN_EDGES), -1, np.int32)
-        seen, _ = beam_search(vectors, edges, entry, vectors[lonely], beam)
-        for point, near in zip(lonely, seen, strict=True):
+        for point, near in zip(lonely, _seen(vectors, edges, entry, lonely, BUILD_BEAM, lonely), strict=True):
             for other in near[(near >= 0) & (near != point)][: 2 * LEAST_IN_EDGES]:
                 free = np.flatnonzero(extra[other] < 0)
                 if len(free):
@@ -198,6 +212,13 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEA
     return edges, entry
 
 
+def _seen(vectors: np.ndarray, edges: np.ndarray, entry: np.ndarray, of: np.ndarray, beam: int, own: np.ndarray | None = None) -> np.ndarray:
+    """What the searches for the points ``of`` saw, a few hundred at a time."""
+    parts = range(0, len(of), SEARCH_BATCH)
+    cut = lambda x, at: None if x is None else x[at : at + SEARCH_BATCH]
+    return np.concatenate([beam_search(vectors, edges, entry, vectors[cut(of, at)], beam, own=cut(own, at))[0] for at in parts])
+
+
 def add_back_edges(vectors: np.ndarray, edges: np.ndarray, batch: np.ndarray, degree: int, alpha: float) -> None:
     """Make every new edge lead back, pruning the points that then have too many."""
     to = edges[batch, :degree].ravel()
@@ -259,33 +280,110 @@ def _unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": batch["id"], "unit": [v.tobytes() for v in vectors.astype(np.float32)]})
 
 
-BUILT = "cell int, shard int, ids binary, vectors binary, edges binary, entry binary"
+def close_cells(units: np.ndarray, centres: np.ndarray) -> list[np.ndarray]:
+    """Per vector the numbers of the centres nearest to it: the first, and others within CLOSE of its distance.
+
+    At most MOST_CELLS, and at most half of all, so that cells get smaller.
+    """
+    similar = units @ centres.T
+    order = np.argsort(-similar, axis=1, kind="stable")[:, : max(1, min(MOST_CELLS, len(centres) // 2))]
+    distance = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(similar, order, 1), 0))
+    keep = distance <= CLOSE * distance[:, :1]
+    return [row[good].astype(np.int32) for row, good in zip(order, keep, strict=True)]
+
+
+def _split(members: DataFrame, dimensions: int, most: int, cell_vectors: int) -> DataFrame | None:
+    """``members`` (id, unit, cell) with the cells of more than ``most`` of them split; None if there is no such cell.
 
+    The largest cells are split first; the others in the next pass.
+    """
+    hot = members.groupBy("cell").count().where(F.col("count") > most).orderBy(F.desc("count")).limit(SPLIT_CELLS).collect()
+    if not hot:
+        return None
+    parts = {r["cell"]: min(MOST_CENTRES, max(LEAST_CENTRES, round(r["count"] * COPIES / cell_vectors))) for r in hot}
+    parts = {cell: min(n, PASS_CENTRES // len(parts)) for cell, n in parts.items()}
+    sizes = {r["cell"]: r["count"] for r in hot}
+
+    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            share = batch["cell"].map(sizes)
+            yield batch[share.notna() & (batch["lot"] < SAMPLE_VECTORS / share)].drop(columns="lot")
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        centres = fit_centres(_matrix(rows.sort_values("id")["unit"]), parts[key[0]])
+        return pd.DataFrame({"cell": [key[0]], "centres": [centres.tobytes()]})
+
+    lot = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) / (1 << 20)
+    fitted = (
+        members.select("id", "unit", "cell", lot.alias("lot"))
+        .mapInPandas(sample, "id long, unit binary, cell long")
+        .groupBy("cell")
+        .applyInPandas(fit, "cell long, centres binary")
+        .collect()
+    )
+    centres = {r["cell"]: np.frombuffer(r["centres"], np.float32).reshape(-1, dimensions) for r in fitted}
 
-def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("id", kind="stable")
-    vectors = _matrix(rows["unit"])
-    edges, entry = build_graph(vectors)
-    return pd.DataFrame(
-        {
-            "cell": [key[0]],
-            "shard": [key[1]],
-            "ids": [rows["id"].to_numpy(np.int64).tobytes()],
-            "vectors": [vectors.tobytes()],
-            "edges": [edges.tobytes()],
-            "entry": [entry.tobytes()],
-        }
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [np.array([-1], np.int32)] * len(batch)
+            for cell, at in batch.groupby("cell").indices.items():
+                if cell in centres:
+                    for i, own in zip(at, close_cells(_matrix(batch["unit"].iloc[at]), centres[cell]), strict=True):
+                        parts[i] = own
+            yield batch.assign(parts=parts)
+
+    cell = F.when(F.col("part") < 0, F.col("cell")).otherwise(F.xxhash64("cell", "part"))
+    return (
+        members.mapInPandas(assign, "id long, unit binary, cell long, parts array<int>")
+        .select("id", "unit", "cell", F.explode("parts").alias("part"))
+        .select("id", "unit", cell.alias("cell"))
     )
 
 
+def cells_of(distinct: DataFrame, dimensions: int, most: int, cell_vectors: int) -> DataFrame:
+    """``id, unit, cell`` for every cell that a vector of ``distinct`` (id, unit) belongs to, none of more than ``most``.
+
+    Each pass splits every cell that is too large into LEAST_CENTRES or more, so a few passes do for any table.
+    """
+    members = distinct.select("id", "unit", F.lit(0).cast("long").alias("cell"))
+    for _ in range(MOST_PASSES):
+        finer = _split(members, dimensions, most, cell_vectors)
+        if finer is None:
+            break
+        members = finer
+    return members
+
+
+def _search_cell(k: int):
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, vectors = rows["id"].to_numpy(np.int64), _matrix(rows["unit"])
+        order = np.argsort(ids)
+        ids, vectors = ids[order], vectors[order]
+        edges, entry = build_graph(vectors)
+        every = np.arange(len(ids), dtype=np.int32)
+        near = _seen(vectors, edges, entry, every, max(SEARCH_BEAM, k + 1), every)
+        near = np.where(near == every[:, None], -1, near)[:, : k + 1]  # one of them may be the vector itself
+        exact = np.einsum("qd,qkd->qk", vectors.astype(np.float64), vectors[near].astype(np.float64))
+        good = near >= 0
+        return pd.DataFrame(
+            {
+                "id": ids,
+                "found": [ids[n[g]] for n, g in zip(near, good, strict=True)],
+                "minus": [-x[g] for x, g in zip(exact, good, strict=True)],
+            }
+        )
+
+    return search
+
+
 def nearest(
     table: DataFrame,
     id_column: str = "chunk_ord",
     vector_column: str = "embedding",
     k: int = 5,
     dimensions: int = 64,
-    shard_vectors: int = SHARD_VECTORS,
-    probes: int = PROBES,
+    cell_vectors: int = CELL_VECTORS,
+    most_vectors: int = MOST_VECTORS,
 ) -> DataFrame:
     """For every usable vector the ``k`` other ids most similar by cosine: ``id, rank, neighbour, similarity``.
 
@@ -324,77 +422,17 @@ def nearest(
         )
     )
     distinct = cut_lineage(copies)
-    total = distinct.count()
-    if not total:
-        return spark.createDataFrame([], "id long, rank int, neighbour long, similarity double")
-    cells = min(MAX_CELLS, -(-total // shard_vectors))
-    share = min(1.0, SAMPLE_VECTORS / total)
-    fraction = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)
-    sample = _matrix(pd.Series([bytes(r["unit"]) for r in distinct.where(fraction).select("unit").collect()] or [
-        bytes(distinct.select("unit").first()["unit"])
-    ]))
-    centres = fit_centres(sample, cells)
-    near = min(probes, len(centres))
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                order = np.argsort(-(_matrix(batch["unit"]) @ centres.T), axis=1, kind="stable")[:, :near]
-                yield batch.assign(cells=[row.astype(np.int32) for row in order])
-
-    located = cut_lineage(
-        distinct.select("id", "unit").mapInPandas(assign, "id long, unit binary, cells array<int>")
+    hits = cells_of(distinct, dimensions, most_vectors, cell_vectors).groupBy("cell").applyInPandas(
+        lambda rows: _search_cell(k)(rows), "id long, found array<long>, minus array<double>"
     )
-    # Shards of each cell and query blocks of each cell: one row per cell, at most MAX_CELLS.
-    held = {r["cell"]: r["count"] for r in located.groupBy(F.col("cells")[0].alias("cell")).count().collect()}
-    asked = {r["cell"]: r["count"] for r in located.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()}
-    lookup = lambda sizes, most: F.array(
-        *(F.lit(max(1, -(-sizes.get(cell, 0) // most))) for cell in range(len(centres)))
+    # The best of what a vector found in all its cells; what it found in several counts once.
+    of_cell = F.collect_list(F.arrays_zip("minus", "found"))
+    top = (
+        hits.groupBy("id")
+        .agg(F.slice(F.sort_array(F.array_distinct(F.flatten(of_cell))), 1, k).alias("best"))
+        .select("id", F.explode("best").alias("hit"))
+        .select("id", F.col("hit.found").alias("found"), (-F.col("hit.minus")).alias("similarity"))
     )
-    shards, blocks = lookup(held, shard_vectors), lookup(asked, QUERY_BLOCK)
-    graphs = cut_lineage(
-        located.select("id", "unit", F.col("cells")[0].alias("cell"))
-        .withColumn("shard", F.pmod(F.xxhash64("id"), F.get(shards, F.col("cell"))).cast("int"))
-        .groupBy("cell", "shard")
-        .applyInPandas(_build, BUILT)
-    )
-    queries = (
-        located.select("id", "unit", F.explode("cells").alias("cell"))
-        .withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.get(blocks, F.col("cell"))).cast("int"))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.get(shards, F.col("cell")) - 1)))
-        .groupBy("cell", "shard", "block")
-    )
-    copies_of_graph = graphs.withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("cell")) - 1))
-    ).groupBy("cell", "shard", "block")
-
-    def search(asking: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        out = {"id": [], "found": [], "similarity": []}
-        if len(asking) and len(graph):
-            row = graph.iloc[0]
-            ids = np.frombuffer(row["ids"], np.int64)
-            points = np.frombuffer(row["vectors"], np.float32).reshape(len(ids), -1)
-            edges = np.frombuffer(row["edges"], np.int32).reshape(len(ids), -1)
-            entry = np.frombuffer(row["entry"], np.int32)
-            asking_ids, units = asking["id"].to_numpy(np.int64), _matrix(asking["unit"])
-            for at in range(0, len(asking_ids), 1024):
-                some = asking_ids[at : at + 1024]
-                own = np.minimum(np.searchsorted(ids, some), len(ids) - 1)
-                own = np.where(ids[own] == some, own, -1)
-                seen, _ = beam_search(points, edges, entry, units[at : at + 1024], SEARCH_BEAM, own=own)
-                seen = seen[:, : k + 1]  # one of them may be the vector itself
-                exact = np.einsum(
-                    "qd,qkd->qk", units[at : at + 1024].astype(np.float64), points[seen].astype(np.float64)
-                )
-                good = (seen >= 0) & (ids[seen] != some[:, None])
-                out["id"].append(np.broadcast_to(some[:, None], seen.shape)[good])
-                out["found"].append(ids[seen][good])
-                out["similarity"].append(exact[good])
-        return pd.DataFrame({name: np.concatenate(parts) if parts else [] for name, parts in out.items()})
-
-    hits = queries.cogroup(copies_of_graph).applyInPandas(search, "id long, found long, similarity double")
-    best = Window.partitionBy("id").orderBy(F.desc("similarity"), "found")
-    top = hits.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).drop("nth")
     # Back from distinct vectors to ids: the copies of a vector first, then the members of its neighbours.
     members = distinct.select(F.col("id").alias("found"), F.col("members").alias("other"))
     lists = (

@@ -27,12 +27,27 @@ def test_recall_over_several_shards(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(8, 16))
     data = [(i, (centres[i % 8] + 0.4 * rng.normal(size=16)).tolist()) for i in range(900)]
-    got = found(spark.createDataFrame(data, SCHEMA), dimensions=16, shard_vectors=150, probes=4)
+    got = found(spark.createDataFrame(data, SCHEMA), dimensions=16, cell_vectors=150, most_vectors=300)
     want = brute(data, 5)
     assert set(got) == set(want) and all(len(v) == 5 and i not in v for i, v in got.items())
     assert sum(len(set(got[i]) & set(want[i])) for i in want) / (5 * len(want)) > 0.9
 
 
+def test_recall_over_many_cells_and_passes(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16))
+    data = [(i, (centres[i % 20 if i % 3 else 0] + 0.5 * rng.normal(size=16)).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(data, SCHEMA)
+    units = neighbours.cells_of(df.select("chunk_ord", "embedding").selectExpr("cast(chunk_ord as long) as id", "embedding as vector").mapInPandas(neighbours._unit, "id long, unit binary"), 16, 400, 200)
+    sizes = [r["count"] for r in units.groupBy("cell").count().collect()]
+    assert len(sizes) >= 64 and max(sizes) <= 400
+    got = found(df, dimensions=16, cell_vectors=200, most_vectors=400)
+    x = np.array([v for _, v in data])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.argsort(-(x @ x.T), axis=1)[:, 1:6].tolist()
+    assert sum(len(set(got[i]) & set(w)) for i, w in enumerate(want)) / (5 * len(want)) >= 0.9
+
+
 def test_unusable_repeated_and_few_vectors(spark):
     data = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (2, [0.9, 0.1]), (3, [0.0, 0.0]), (4, [math.nan, 1.0]), (5, [math.inf, 1.0]), (6, None), (7, []), (8, [1.0]), (9, [1.0, None]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(data, SCHEMA).selectExpr("*", "1 as id", "'x' as unit")
@@ -44,7 +59,7 @@ def test_copies_are_each_others_neighbours_in_order(spark):
     rng = np.random.default_rng(4)
     same = rng.normal(size=8).tolist()
     data = [(i, same) for i in range(200)] + [(i, rng.normal(size=8).tolist()) for i in range(200, 260)]
-    got = found(spark.createDataFrame(data, SCHEMA), dimensions=8, shard_vectors=40)
+    got = found(spark.createDataFrame(data, SCHEMA), dimensions=8)
     assert got[0] == [1, 2, 3, 4, 5] and got[3] == [0, 1, 2, 4, 5] and got[150] == [0, 1, 2, 3, 4]
     want = brute(data, 5)
     assert sum(got[i] == want[i] for i in range(200, 260)) >= 54
