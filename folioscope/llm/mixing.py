@@ -3,7 +3,8 @@
 Systematic sampling.  Within a source every text has the same expected number of copies.  Texts are laid end to end in
 the order of their sizes, each as long as its expected copies; one random offset is added, and a text is emitted once
 per integer boundary that falls into its stretch.  Every size is so drawn in proportion, and the tokens drawn differ
-from the target by little more than one text.
+from the target by little more than one of the longest texts.  In a source where that is more than NEAR_ENOUGH, further
+offsets are tried.
 
 The prefix sums are taken in two steps, so that a source with any share of all rows is spread over many tasks: counts
 per (source, size step, salt), whose number doesn't grow with the rows, then ranks within each such bucket.
@@ -20,7 +21,8 @@ from folioscope.session import cut_lineage
 BUCKET_ROWS = 50_000
 #: Size steps per doubling of the size.
 STEPS_PER_DOUBLING = 8
-#: Random offsets a source chooses from.
+#: A draw this near to its target, in proportion, is kept; random offsets that are tried where the first isn't.
+NEAR_ENOUGH = 0.01
 OFFSETS = 32
 
 
@@ -136,7 +138,8 @@ def mixture(
         .withColumn("end", F.col("before") + F.row_number().over(within))
         .select("source", "doc_id", "tokens", "expected", "max_repeats", "end")
     )
-    # A source draws one random offset; of OFFSETS random ones it takes the one that comes closest to its target.
+    # A source draws one random offset.  Where a few long texts lead that draw away from the target, the offset of
+    # OFFSETS random ones that comes closest is taken.
     drawn_tokens = laid.groupBy("source").agg(
         *(F.sum(F.col("tokens") * _copies(_offset(i, seed))).alias(f"drawn_{i}") for i in range(OFFSETS))
     )
@@ -146,8 +149,9 @@ def mixture(
             for i in range(OFFSETS)
         )
     )
+    near = F.abs(F.col("drawn_0") - F.col("wanted")) <= NEAR_ENOUGH * F.col("wanted")
     best = drawn_tokens.join(plan.select("source", "wanted"), "source").select(
-        "source", F.array_min(choices)["offset"].alias("offset")
+        "source", F.when(near, _offset(0, seed)).otherwise(F.array_min(choices)["offset"]).alias("offset")
     )
     drawn = (
         laid.join(F.broadcast(best), "source")  # as many rows as target sources

@@ -2,7 +2,9 @@
 
 Martello and Toth's reduction.  Items are taken from the largest down.  If some set of at most three items with the
 item in it dominates every other set that could share its container, that set is fixed for good: the instance shrinks
-and no optimal packing is lost.  What no dominance decides is packed best-fit, largest first.
+and no optimal packing is lost.  This is repeated until nothing more is fixed.  What is left is packed in two ways, of
+which the one with fewer containers is taken: best-fit, largest first; and by relaxation, where the smallest items are
+set aside until dominance decides about the largest, and then fill, best-fit, the room that is left.
 
 The items are dealt by the hash of their key into blocks of bounded size, each one Spark group; a block wastes at most
 its last containers, a vanishing share.  Whole-container parts of texts over the capacity never enter a block.
@@ -100,31 +102,59 @@ def dominating_set(bag: SizeBag, item: int, capacity: int) -> list[int] | None:
     return None
 
 
-def pack(sizes: dict[int, int], capacity: int) -> list[tuple[list[int], bool]]:
-    """Containers for a multiset of sizes between 1 and ``capacity``: the sizes in each, and whether it was fixed."""
-    bag = SizeBag(sizes)
-    containers: list[tuple[list[int], bool]] = []
-    item = bag.largest(capacity)
-    while item is not None:
+def reduce(bag: SizeBag, capacity: int) -> list[list[int]]:
+    """The containers that dominance fixes, taken from ``bag``; a fixed set can make further ones dominate."""
+    containers: list[list[int]] = []
+    found = -1
+    while found < len(containers):
+        found = len(containers)
+        item = bag.largest(capacity)
+        while item is not None:
+            bag.take(item)
+            mates = dominating_set(bag, item, capacity)
+            if mates is None:  # stays in the instance: later sets have to dominate those with it, too
+                bag.put(item)
+                item = bag.largest(item - 1)
+                continue
+            for mate in mates:
+                bag.take(mate)
+            containers.append([item, *mates])
+            item = bag.largest(item)
+    return containers
+
+
+def relax(bag: SizeBag, capacity: int) -> tuple[list[list[int]], list[int]]:
+    """Containers for all but the smallest items of ``bag``, which are set aside, largest first.
+
+    The instance is relaxed by its smallest item until dominance decides about its largest one, and so on.
+    """
+    containers: list[list[int]] = []
+    aside: list[int] = []
+    while (item := bag.largest(capacity)) is not None:
         bag.take(item)
-        mates = dominating_set(bag, item, capacity)
-        if mates is None:  # stays in the instance: later sets have to dominate those with it, too
-            bag.put(item)
-            item = bag.largest(item - 1)
-            continue
+        while (mates := dominating_set(bag, item, capacity)) is None:
+            least = bag.sizes[0]
+            bag.take(least)
+            aside.append(least)
         for mate in mates:
             bag.take(mate)
-        containers.append(([item, *mates], True))
-        item = bag.largest(item)
-    undecided = [size for size in reversed(bag.sizes) for _ in range(bag.count[size])]
-    # Best fit, largest first: each goes where the least room is left.
-    rooms: list[int] = []
+        containers.append([item, *mates])
+    return containers, aside[::-1]
+
+
+def best_fit(items: list[int], capacity: int, containers: list[list[int]] | None = None) -> list[list[int]]:
+    """``items`` put, one after the other, where the least room is left, in ``containers`` or new ones."""
+    out = [list(c) for c in containers or []]
     open_by_room: dict[int, list[list[int]]] = defaultdict(list)
-    for item in undecided:
+    for container in out:
+        if sum(container) < capacity:
+            open_by_room[capacity - sum(container)].append(container)
+    rooms = sorted(open_by_room)
+    for item in items:
         at = bisect_left(rooms, item)
         if at == len(rooms):
             container, room = [], capacity
-            containers.append((container, False))
+            out.append(container)
         else:
             room = rooms[at]
             container = open_by_room[room].pop()
@@ -136,7 +166,17 @@ def pack(sizes: dict[int, int], capacity: int) -> list[tuple[list[int], bool]]:
             if not open_by_room[left]:
                 rooms.insert(bisect_left(rooms, left), left)
             open_by_room[left].append(container)
-    return containers
+    return out
+
+
+def pack(sizes: dict[int, int], capacity: int) -> list[tuple[list[int], bool]]:
+    """Containers for a multiset of sizes between 1 and ``capacity``: the sizes in each, and whether it was fixed."""
+    bag = SizeBag(sizes)
+    fixed = reduce(bag, capacity)
+    undecided = [size for size in reversed(bag.sizes) for _ in range(bag.count[size])]
+    relaxed, aside = relax(SizeBag(bag.count), capacity)
+    rest = min(best_fit(aside, capacity, relaxed), best_fit(undecided, capacity), key=len)
+    return [(c, True) for c in fixed] + [(c, False) for c in rest]
 
 
 ASSIGNED = (

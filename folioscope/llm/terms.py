@@ -26,9 +26,9 @@ FORMAT = regex.compile(r"\p{Cf}+")
 BURST = 128
 #: Terms a task's trie may hold before it is emitted and begun anew; bounds a worker's memory.
 FLUSH_TERMS = 400_000
-#: A prefix with more than this share of all entries is split by one more byte.
+#: A prefix with more than this share of all entries, and more than so many, is split by one more byte.
 ROUTE_SHARE = 1 / 512
-MAX_ROUTE_BYTES = 3
+ROUTE_ENTRIES = 10_000
 ENTRY = "term string, occurrences long, passages long"
 
 
@@ -152,18 +152,20 @@ def _hot_prefixes(entries: DataFrame) -> list[list[bytes]]:
     """Per length, the prefixes whose entries exceed their share and are split by one more byte.
 
     At most 1 / ROUTE_SHARE prefixes of a length can exceed it, and only their children are counted at the next
-    length, so the driver never sees more than 256 / ROUTE_SHARE counters, whatever the vocabulary.
+    length, so the driver never sees more than 256 / ROUTE_SHARE counters, whatever the vocabulary.  Splitting goes on
+    until no prefix exceeds its share, or the terms end.
     """
     levels: list[list[bytes]] = []
-    total = 0
-    for length in range(1, MAX_ROUTE_BYTES):
-        of = entries if length == 1 else entries.where(_prefix("term", length - 1).isin(levels[-1]))
+    total, hot = 0, [b""]
+    while hot:
+        length = len(levels) + 1
+        of = entries.where(F.octet_length("term") >= length)
+        of = of.where(_prefix("term", length - 1).isin(levels[-1])) if levels else of
         counts = of.groupBy(_prefix("term", length).alias("prefix")).count().collect()
         total = total or sum(r["count"] for r in counts)
-        hot = [bytes(r["prefix"]) for r in counts if r["count"] > total * ROUTE_SHARE]
-        if not hot:
-            break
-        levels.append(hot)
+        hot = [bytes(r["prefix"]) for r in counts if r["count"] > max(total * ROUTE_SHARE, ROUTE_ENTRIES)]
+        if hot:
+            levels.append(hot)
     return levels
 
 

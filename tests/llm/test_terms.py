@@ -33,6 +33,7 @@ def test_counts_equal_brute_force(spark):
 
 def test_hot_terms_and_small_tries(spark, monkeypatch):
     monkeypatch.setattr(terms, "ROUTE_SHARE", 0.05)
+    monkeypatch.setattr(terms, "ROUTE_ENTRIES", 10)
     data = [(f"c{i}", None, "hot hot " + " ".join(f"hot{j}" for j in range(i, i + 5))) for i in range(200)]
     df = spark.createDataFrame(data, INDEX).repartition(5)
     got = {r.term: (r.occurrences, r.passages) for r in terms.term_frequencies(df).collect()}
