@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.words import TOP_K
 
-#: Vectors and queries of one block; bound the similarity matrix of a task.
-VECTOR_BLOCK = 4096
-QUERY_BLOCK = 512
+#: Vectors of one block (few in a small table, so that there is work for many tasks) and queries of one; they bound a task's memory.
+LEAST_BLOCK, VECTOR_BLOCK = 2048, 65_536
+BLOCKS = 64
+QUERY_BLOCK = 4096
+#: Queries of a block whose similarities a task holds at a time.
+AT_ONCE = 256
 
 
 def usable(vector: Column, dimensions: int) -> Column:
@@ -37,56 +40,69 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
-def _packed(rows: DataFrame, block: Column, keep: str) -> DataFrame:
-    """Rows as blocks of bounded size: ``block, ids, vectors`` with the unit vectors as one binary matrix."""
+def _packed(rows: DataFrame, blocks: int) -> DataFrame:
+    """Rows as blocks of bounded size: ``block, ids, vectors`` with the vectors as one binary matrix."""
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        matrix = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+        matrix = np.stack(pdf["embedding"].to_numpy()).astype(np.float32)
         return pd.DataFrame({"block": [key[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "vectors": [matrix.tobytes()]})
 
     return (
-        rows.select(F.col(keep).cast("long").alias("id"), "embedding", block.alias("block"))
+        rows.select(F.col("chunk_ord").cast("long").alias("id"), "embedding", F.pmod(F.xxhash64("chunk_ord"), F.lit(blocks)).alias("block"))
         .groupBy("block")
         .applyInPandas(pack, "block long, ids binary, vectors binary")
     )
 
 
+def _units(matrix: bytes, rows: int) -> np.ndarray:
+    vectors = np.frombuffer(matrix, np.float32).reshape(rows, -1).astype(np.float64)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def best_columns(scores: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the ``k`` highest scores of each row, and of those equal to the lowest of them."""
+    n = scores.shape[1]
+    bound = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+    return np.nonzero((scores >= bound[:, None]) & (scores > least))
+
+
+def block_pairs(left: DataFrame, left_blocks: int, right: DataFrame, right_blocks: int) -> DataFrame:
+    """Every pair of a block of ``left`` and one of ``right``, each pair a key of its own.
+
+    A stated query set against all rows: each row is shipped once per block of the other side.
+    """
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    a = left.withColumnRenamed("block", "left_block").withColumn("right_block", every(right_blocks))
+    b = right.withColumnRenamed("block", "right_block").withColumn("left_block", every(left_blocks))
+    return a.join(b, ["left_block", "right_block"])
+
+
 def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """``query_ord, rank, chunk_ord, similarity``: the ``k`` most similar vectors of each query, itself included.
 
     Both tables have chunk_ord and embedding; unusable vectors are left out on both sides, repeated rows count once.
-    Every pair of a query block and a vector block is one matrix product, joined by the number of the query block; only
-    each block's ``k`` best leave the task.  Equal similarities (to 6 digits) go by chunk_ord.
+    Every pair of a query block and a vector block is a matrix product in a task of its own; only each block's ``k``
+    best leave the task.  Equal similarities (to 6 digits) go by chunk_ord.
     """
     every, asked = usable_vectors(vectors), usable_vectors(queries)
-    vector_blocks = max(1, -(-every.count() // VECTOR_BLOCK))
+    n = every.count()
+    vector_blocks = max(1, -(-n // min(VECTOR_BLOCK, max(LEAST_BLOCK, n // BLOCKS))))
     query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    spread = lambda n: F.pmod(F.xxhash64("chunk_ord"), F.lit(n))
-    left = _packed(every, spread(vector_blocks), "chunk_ord").select(
-        F.col("ids").alias("v_ids"), F.col("vectors").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("block")
-    ).withColumn("block", F.col("block").cast("long"))
-    right = _packed(asked, spread(query_blocks), "chunk_ord").select("block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
+    left = _packed(every, vector_blocks).select("block", F.col("ids").alias("v_ids"), F.col("vectors").alias("v"))
+    right = _packed(asked, query_blocks).select("block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 v_ids, q_ids = np.frombuffer(row.v_ids, np.int64), np.frombuffer(row.q_ids, np.int64)
-                v = np.frombuffer(row.v).reshape(len(v_ids), -1)
-                q = np.frombuffer(row.q).reshape(len(q_ids), -1)
-                similar = np.round(q @ v.T, 6)
-                # Ids ascend within a block, so a stable sort settles ties by id.
-                order = np.argsort(-similar, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame(
-                    {
-                        "query_ord": np.repeat(q_ids, order.shape[1]),
-                        "chunk_ord": v_ids[order].ravel(),
-                        "similarity": np.take_along_axis(similar, order, 1).ravel(),
-                    }
-                )
-
-    near = left.join(right, "block").select("v_ids", "v", "q_ids", "q")
+                v, q = _units(row.v, len(v_ids)), _units(row.q, len(q_ids))
+                for at in range(0, len(q_ids), AT_ONCE):
+                    similar = np.round(q[at : at + AT_ONCE] @ v.T, 6)
+                    of, near = best_columns(similar, k)
+                    yield pd.DataFrame({"query_ord": q_ids[at + of], "chunk_ord": v_ids[near], "similarity": similar[of, near]})
+
+    near = block_pairs(left, vector_blocks, right, query_blocks).select("v_ids", "v", "q_ids", "q")
     found = near.mapInPandas(rank, "query_ord long, chunk_ord long, similarity double")
     best = Window.partitionBy("query_ord").orderBy(F.desc("similarity"), "chunk_ord")
     return (
@@ -96,23 +112,35 @@ def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> Dat
     )
 
 
+def pair_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``pairs`` (query_ord, chunk_ord, ...) with their `similarity` to 6 digits, null where a side has no usable vector."""
+    every = usable_vectors(vectors)
+    side = lambda name, to: every.select(F.col("chunk_ord").alias(name), F.col("embedding").alias(to))
+    product = dot(F.col("_q"), F.col("_v")) / F.sqrt(dot(F.col("_q"), F.col("_q")) * dot(F.col("_v"), F.col("_v")))
+    both = pairs.join(side("query_ord", "_q"), "query_ord", "left").join(side("chunk_ord", "_v"), "chunk_ord", "left")
+    return both.withColumn("similarity", F.round(product, 6)).drop("_q", "_v")
+
+
 def with_keyword_match(ranked: DataFrame, matches: DataFrame, k: int = TOP_K) -> DataFrame:
     """``query, rank, chunk_id, via``: the semantic top ``k``, the last one replaced by the keyword match if that is new.
 
     ``ranked`` has query, rank, chunk_id; ``matches`` at most one chunk_id per query.  Queries with a match but no
-    semantic result get the match alone at rank 1.  ``k`` below 1 gives no rows.
+    semantic result get the match alone at rank 1.  ``k`` below 1 gives no rows.  Further columns that both have, such
+    as the similarity, stay with their passage.
     """
-    top = ranked.where(F.col("rank") <= k).select("query", "rank", "chunk_id")
-    new = matches.select("query", "chunk_id").join(top, ["query", "chunk_id"], "left_anti")
+    more = [c for c in ranked.columns if c in matches.columns and c not in ("query", "rank", "chunk_id", "via")]
+    top = ranked.where(F.col("rank") <= k).select("query", "rank", "chunk_id", *more)
+    new = matches.select("query", "chunk_id", *more).join(top.select("query", "chunk_id"), ["query", "chunk_id"], "left_anti")
     sizes = top.groupBy("query").agg(F.max("rank").alias("size"))
     placed = new.join(sizes, "query", "left").select(
         "query",
         F.when(F.coalesce("size", F.lit(0)) < k, F.coalesce("size", F.lit(0)) + 1).otherwise(k).cast("int").alias("rank"),
         "chunk_id",
+        *more,
         F.lit("keyword").alias("via"),
     )
     kept = top.join(placed.select("query", "rank"), ["query", "rank"], "left_anti").withColumn("via", F.lit("semantic"))
-    return kept.unionByName(placed) if k >= 1 else kept.limit(0)
+    return kept.unionByName(placed) if k >= 1 else kept.unionByName(placed).limit(0)
 
 
 def closest_sections(ranked: DataFrame, chunks: DataFrame, n: int = 3) -> DataFrame:

@@ -254,13 +254,16 @@ SQL: dict[str, str] = {
             QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, chunk_id) = 1
         ),
         fresh AS (
-            SELECT m.query, least(12, s.size + 1) AS rank, m.chunk_id FROM matched m
+            SELECT m.query, least(12, s.size + 1) AS rank, m.chunk_id, (
+                SELECT round(list_cosine_similarity(q.e, x.e), 6) FROM v0 q, v0 x JOIN c0 c ON c.chunk_ord = x.chunk_ord
+                WHERE q.chunk_ord = m.query AND c.chunk_id = m.chunk_id
+            ) AS similarity FROM matched m
             JOIN (SELECT query, max(rank) AS size FROM ranked GROUP BY query) s USING (query)
             ANTI JOIN ranked r ON r.query = m.query AND r.chunk_id = m.chunk_id
         )
-        SELECT query, rank, chunk_id, 'semantic' AS via FROM ranked r
+        SELECT query, rank, chunk_id, similarity, 'semantic' AS via FROM ranked r
         ANTI JOIN fresh f ON f.query = r.query AND f.rank = r.rank
-        UNION ALL SELECT query, CAST(rank AS INTEGER), chunk_id, 'keyword' FROM fresh
+        UNION ALL SELECT query, CAST(rank AS INTEGER), chunk_id, similarity, 'keyword' FROM fresh
     """,
     "closest_sections": f"""
         WITH {_ranked()},

@@ -101,31 +101,26 @@ def doc_frequency(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def rare_words(spark: SparkSession, directory: str) -> DataFrame:
-    held = keyword.postings(table(spark, directory, "keyword_index"))
-    return keyword.rare_words(held, table(spark, directory, "questions"))
+    questions = table(spark, directory, "questions")
+    held = keyword.postings_of(table(spark, directory, "keyword_index"), keyword.question_terms(questions))
+    return keyword.rare_words(held, questions)
 
 
 def rare_word_match(spark: SparkSession, directory: str) -> DataFrame:
     return keyword.rare_word_match(table(spark, directory, "keyword_index"), table(spark, directory, "questions"))
 
 
-def _question_terms(spark: SparkSession, directory: str) -> DataFrame:
-    questions = evaluate.distinct_questions(table(spark, directory, "questions"))
-    return questions.select("id", F.explode(F.array_distinct(T.terms(F.col("question")))).alias("term"))
-
-
 def bm25_topk(spark: SparkSession, directory: str) -> DataFrame:
-    index = table(spark, directory, "keyword_index")
-    scores = keyword.bm25_scores(index, cut_lineage(keyword.postings(index)), _question_terms(spark, directory))
-    return keyword.best_passages(scores, TOP_K)
+    return keyword.bm25_best(table(spark, directory, "keyword_index"), table(spark, directory, "questions"), TOP_K)
 
 
 # Semantic search.
 
 
-def _semantic(spark: SparkSession, directory: str, near: int = 0, k: int = TOP_K) -> DataFrame:
+def _semantic(spark: SparkSession, directory: str, nears: tuple[int, ...] = (0,), k: int = TOP_K) -> DataFrame:
+    """The search for every 50th vector, and for those that follow it by one of ``nears``."""
     vectors = table(spark, directory, "vectors")
-    queries = vectors.where(F.pmod(F.col("chunk_ord") - near, F.lit(QUERY_STEP)) == 0)
+    queries = vectors.where(F.pmod("chunk_ord", F.lit(QUERY_STEP)).isin(*nears))
     return semantic.semantic_topk(vectors, queries, k)
 
 
@@ -143,61 +138,66 @@ def _chunk_ids(spark: SparkSession, directory: str) -> DataFrame:
     return _once(spark, directory, "chunks", "chunk_id").select("chunk_ord", "chunk_id", "title", "section_path", "pages")
 
 
-def _ranked(spark: SparkSession, directory: str, near: int = 0, k: int = TOP_K) -> DataFrame:
+def _ranked(spark: SparkSession, directory: str, *nears: int) -> DataFrame:
+    """``query, near, rank, chunk_id, similarity``."""
     ids = _chunk_ids(spark, directory).select("chunk_ord", "chunk_id")
-    ranked = _semantic(spark, directory, near, k).join(ids, "chunk_ord")
-    return ranked.select((F.col("query_ord") - near).alias("query"), "rank", "chunk_id", "similarity")
+    ranked = _semantic(spark, directory, nears or (0,)).join(ids, "chunk_ord")
+    near = F.pmod("query_ord", F.lit(QUERY_STEP)).cast("int")
+    return ranked.select((F.col("query_ord") - near).alias("query"), near.alias("near"), "rank", "chunk_id", "similarity")
 
 
 def hybrid_search(spark: SparkSession, directory: str) -> DataFrame:
     """Vector search for every 50th chunk, with the best passage for the rare words of its title in the last slot."""
-    index = table(spark, directory, "keyword_index")
-    asked = (
-        _chunk_ids(spark, directory)
-        .where(F.pmod("chunk_ord", F.lit(QUERY_STEP)) == 0)
-        .select(F.col("chunk_ord").cast("string").alias("id"), F.col("title").alias("question"))
+    index, ids = table(spark, directory, "keyword_index"), _chunk_ids(spark, directory)
+    asked = ids.where(F.pmod("chunk_ord", F.lit(QUERY_STEP)) == 0).select(
+        F.col("chunk_ord").cast("string").alias("id"), F.col("title").alias("question")
     )
     match = keyword.rare_word_match(index, asked).select(F.col("id").cast("int").alias("query"), "chunk_id")
     ranked = cut_lineage(_ranked(spark, directory))
-    only = match.join(ranked.select("query").distinct(), "query", "left_semi")
-    return semantic.with_keyword_match(ranked, only)
+    pairs = match.join(ranked.select("query").distinct(), "query", "left_semi").join(ids.select("chunk_ord", "chunk_id"), "chunk_id")
+    known = semantic.pair_similarity(pairs.withColumnRenamed("query", "query_ord"), table(spark, directory, "vectors"))
+    return semantic.with_keyword_match(ranked, known.withColumnRenamed("query_ord", "query"))
 
 
 def closest_sections(spark: SparkSession, directory: str) -> DataFrame:
     return semantic.closest_sections(_ranked(spark, directory), table(spark, directory, "chunks"))
 
 
+def _researched(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    """The ranking of every 50th chunk, and what its three followers find in turn that it didn't find itself."""
+    every = cut_lineage(_ranked(spark, directory, 0, 1, 2, 3))
+    seen = every.where("near = 0").drop("near")
+    hits = every.where("near > 0").withColumnRenamed("near", "search")
+    return seen, semantic.round_robin(hits, seen, MAX_EXTRA_PASSAGES)
+
+
 def round_robin_research(spark: SparkSession, directory: str) -> DataFrame:
     """For every 50th chunk: what its three followers find in turn that it didn't find itself."""
-    seen = _ranked(spark, directory)
-    hits = None
-    for search in (1, 2, 3):
-        of = _ranked(spark, directory, search).select("query", F.lit(search).alias("search"), "rank", "chunk_id")
-        hits = of if hits is None else hits.unionByName(of)
-    return semantic.round_robin(hits, seen, MAX_EXTRA_PASSAGES)
+    return _researched(spark, directory)[1]
+
+
+def _searched_twice(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    first, added = _researched(spark, directory)
+    return first, added.withColumnRenamed("position", "rank")
 
 
 def second_passages(spark: SparkSession, directory: str) -> DataFrame:
     """The passages of the second call: those of the first search, then the added ones."""
-    return semantic.one_after_another(_ranked(spark, directory), _added(spark, directory), table(spark, directory, "chunks"))
+    return semantic.one_after_another(*_searched_twice(spark, directory), table(spark, directory, "chunks"))
 
 
 def closest_after_research(spark: SparkSession, directory: str) -> DataFrame:
     """The closest sections over the added passages, then those of the first search."""
     chunks = table(spark, directory, "chunks")
-    both = semantic.one_after_another(_added(spark, directory), _ranked(spark, directory), chunks)
-    return semantic.closest_sections(both, chunks)
-
-
-def _added(spark: SparkSession, directory: str) -> DataFrame:
-    return round_robin_research(spark, directory).withColumnRenamed("position", "rank")
+    first, added = _searched_twice(spark, directory)
+    return semantic.closest_sections(semantic.one_after_another(added, first, chunks), chunks)
 
 
 def cited_added(spark: SparkSession, directory: str) -> DataFrame:
     """Whether an answer cites an added passage: its citation numbers are dealt to the second call's passages of one query."""
-    added = cut_lineage(_added(spark, directory))
-    chunks = table(spark, directory, "chunks")
-    passages = semantic.one_after_another(_ranked(spark, directory), added, chunks)
+    first, added = _searched_twice(spark, directory)
+    added = cut_lineage(added)
+    passages = semantic.one_after_another(first, added, table(spark, directory, "chunks"))
     queries = max(1, -(-_chunk_ids(spark, directory).count() // QUERY_STEP))
     sizes = passages.groupBy("query").agg(F.max("rank").alias("size"))
     numbers = F.explode_outer(grounding.cited_numbers(F.col("parts"))).alias("number")
