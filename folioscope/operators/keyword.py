@@ -154,15 +154,15 @@ def _scores(p: tuple[np.ndarray, ...], q: tuple[np.ndarray, ...], passages_: int
     return scores.reshape(questions_, passages_)
 
 
-def bm25_best(index: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+def bm25_best(index: DataFrame, questions: DataFrame, k: int, held: DataFrame | None = None) -> DataFrame:
     """``id, rank, chunk_id, score``: the ``k`` best passages of each question over all of its terms, ties by chunk_id.
 
     A common term meets a large share of all passages for many questions; so the questions are held against all
     passages in pairs of blocks, each one task, and only each block's ``k`` best leave it.  Questions without a known
-    term have no rows.
+    term have no rows.  ``held`` are the postings of the questions' terms, if there are some already.
     """
     wanted = cut_lineage(question_terms(questions))
-    held = postings_of(index, wanted)
+    held = postings_of(index, wanted) if held is None else held
     n = index.select("chunk_id").where("chunk_id is not null").distinct().count()
     m = wanted.select("id").distinct().count()
     passage_blocks, question_blocks = max(1, -(-n // PASSAGE_BLOCK)), max(1, -(-m // QUESTION_BLOCK))
@@ -189,7 +189,10 @@ def best_passages(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def rare_word_match(index: DataFrame, questions: DataFrame) -> DataFrame:
-    """``id, chunk_id, score``: the passage that best matches each question's rare words, looked up whole."""
-    held = postings_of(index, question_terms(questions))
+def rare_word_match(index: DataFrame, questions: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """``id, chunk_id, score``: the passage that best matches each question's rare words, looked up whole.
+
+    ``held`` are the postings of the questions' terms, if there are some already.
+    """
+    held = postings_of(index, question_terms(questions)) if held is None else held
     return best_passages(bm25_scores(index, held, rare_words(held, questions)), 1).drop("rank")

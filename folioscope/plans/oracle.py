@@ -21,6 +21,11 @@ _TERMS = lambda x: f"list_transform(list_filter({_TOKENS(x)}, lambda w: {_IS_TER
 _WORDS = lambda x: (
     rf"list_filter(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}$]+'), lambda w: NOT list_contains({_LIST(VAGUE_WORDS)}, w))"
 )
+# DuckDB knows NFC only: wide letters and ligatures, which the given tables have, are replaced before it.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))).replace("'", "''"), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_NFKC = lambda x: (
+    f"nfc_normalize(replace(replace(replace(replace(replace(translate({x}, '{_WIDE[0]}', '{_WIDE[1]}'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'))"
+)
 _BLOCKS = "SELECT DISTINCT * FROM blocks WHERE section_id IS NOT NULL AND block_ord IS NOT NULL"
 _ANSWERS = "SELECT * FROM answer_eval WHERE row_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY saved_at) = 1"
 _QUESTIONS = "SELECT * FROM questions WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY question) = 1"
@@ -117,6 +122,57 @@ _EVALUATED = f"""
         SELECT q.id, search_rank FROM ({_QUESTIONS}) q LEFT JOIN hits USING (id) WHERE NOT coalesce(out_of_scope, FALSE)
     )
 """
+_SEARCHED = f"""
+    WITH {_bm25(_QUESTION_TERMS)}, ranked AS ({_TOP12}), targets AS ({_EVIDENCE}),
+    {_rare(_QUESTIONS)},
+    rare_scores AS (
+        SELECT id, chunk_id, round(sum((CASE WHEN field = 'title' THEN {BM25["title_boost"]} ELSE 1.0 END)
+            * ln(1 + (collection - n + 0.5) / (n + 0.5))
+            * ({BM25["d"]} + tf * ({BM25["k"]} + 1) / (tf + {BM25["k"]} * (1 - {BM25["b"]} + {BM25["b"]} * field_length / average)))), 6) AS score
+        FROM held JOIN df USING (field, term) JOIN lengths USING (field) JOIN (SELECT DISTINCT id, term FROM rare) USING (term)
+        GROUP BY id, chunk_id
+    ),
+    matched AS (SELECT id, chunk_id FROM rare_scores QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, chunk_id) = 1),
+    fresh AS (
+        SELECT m.id, CASE WHEN coalesce(s.size, 0) < 12 THEN coalesce(s.size, 0) + 1 ELSE 12 END AS rank, m.chunk_id FROM matched m
+        LEFT JOIN (SELECT id, max(rank) AS size FROM ranked GROUP BY id) s USING (id)
+        ANTI JOIN ranked r ON r.id = m.id AND r.chunk_id = m.chunk_id
+    ),
+    found AS (
+        SELECT id, rank, chunk_id FROM ranked r ANTI JOIN fresh f ON f.id = r.id AND f.rank = r.rank
+        UNION ALL SELECT id, rank, chunk_id FROM fresh
+    ),
+    searched AS (
+        SELECT q.id,
+            (SELECT min(r.rank) FROM ranked r SEMI JOIN targets t ON t.id = r.id AND t.chunk_id = r.chunk_id WHERE r.id = q.id) AS ranked_rank,
+            CAST((SELECT min(r.rank) FROM found r SEMI JOIN targets t ON t.id = r.id AND t.chunk_id = r.chunk_id WHERE r.id = q.id) AS INTEGER) AS search_rank,
+            (SELECT CASE WHEN count(t.id) > 0 THEN 'added the answer' WHEN count(*) > 0 THEN 'added another passage' END
+                FROM fresh f LEFT JOIN targets t ON t.id = f.id AND t.chunk_id = f.chunk_id WHERE f.id = q.id) AS keyword_net,
+            EXISTS (SELECT 1 FROM found r JOIN ({_CHUNKS}) c USING (chunk_id) WHERE r.id = q.id
+                AND list_contains(list_transform(q.expect, lambda x: {_SHORT("x")}), {_SHORT("c.section_path")})) AS section_hit
+        FROM ({_QUESTIONS}) q WHERE NOT coalesce(q.out_of_scope, FALSE)
+    )
+"""
+_RESEARCHED = f"""
+    WITH {_ranked()}, {_ranked(1, "one")}, {_ranked(2, "two")}, {_ranked(3, "three")},
+    hits AS (
+        SELECT query, 1 AS search, rank, chunk_id FROM one UNION ALL SELECT query, 2, rank, chunk_id FROM two
+        UNION ALL SELECT query, 3, rank, chunk_id FROM three
+    ),
+    first AS (
+        SELECT h.* FROM hits h ANTI JOIN ranked r ON r.query = h.query AND r.chunk_id = h.chunk_id
+        QUALIFY row_number() OVER (PARTITION BY h.query, h.chunk_id ORDER BY rank, search) = 1
+    ),
+    added AS (
+        SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY rank, search) AS INTEGER) AS position, chunk_id
+        FROM first QUALIFY position <= 8
+    ),
+    second AS (
+        SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY list, rank) AS INTEGER) AS rank, chunk_id FROM (
+            SELECT query, 0 AS list, rank, chunk_id FROM ranked UNION ALL SELECT query, 1, position, chunk_id FROM added
+        )
+    )
+"""
 # RE2 knows no lookaround: sentences are found by a mark put after each end, names and negations by their own patterns.
 _SENTENCES = rf"string_split(regexp_replace(regexp_replace(regexp_replace(answer, '\[\d+\]', '', 'g'), '([.!?])[{SPACE}]+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))"
 _NAMED = r"(?:handbook|passages?|excerpts?)"
@@ -150,6 +206,22 @@ _GRADED = f"""
         ELSE 'pass' END AS grade
     FROM ({_ANSWERS}) a JOIN ({_QUESTIONS}) q ON q.id = a.id
 """
+_LINES = f"""
+    WITH b AS (
+        SELECT section_id AS doc_id, block_ord AS page, coalesce(list_level, 0) AS lv,
+            list_filter(string_split({_COLLAPSE("text")}, ' '), lambda w: w <> '') AS words
+        FROM ({_BLOCKS}) WHERE kind = 'paragraph' AND text IS NOT NULL
+    ),
+    i AS (SELECT doc_id, page, lv, unnest(words) AS str, unnest(range(len(words))) AS n FROM b),
+    x AS (SELECT *, n // 4 AS line_ord, 50 + 30 * lv + (n % 4) * 120 AS x, least(length(str) * 5.5, 115.0) AS width FROM i),
+    g AS (SELECT *, x - lag(x + width) OVER (PARTITION BY doc_id, page, line_ord ORDER BY x) AS gap FROM x),
+    lines AS (
+        SELECT doc_id, page, CAST(line_ord AS INTEGER) AS line_ord, CAST(700 - 16 * line_ord AS DOUBLE) AS y,
+            CAST(min(x) AS DOUBLE) AS x, CAST(max(x + width) AS DOUBLE) AS "right", CAST(11 AS DOUBLE) AS size,
+            {_COLLAPSE(_NFKC("string_agg(CASE WHEN gap > 12 THEN ' | ' WHEN gap > 1 THEN ' ' ELSE '' END || str, '' ORDER BY x)"))} AS text
+        FROM g GROUP BY doc_id, page, line_ord
+    )
+"""
 _OPENING = rf"regexp_extract(first.text, '(?s)^(.*?(?:[.!?:](?:[{SPACE}]|$)|\n))', 1)"
 
 SQL: dict[str, str] = {
@@ -274,18 +346,44 @@ SQL: dict[str, str] = {
         SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY rank) AS INTEGER) AS position, section_path, title, page
         FROM f QUALIFY position <= 3
     """,
-    "round_robin_research": f"""
-        WITH {_ranked()}, {_ranked(1, "one")}, {_ranked(2, "two")}, {_ranked(3, "three")},
-        hits AS (
-            SELECT query, 1 AS search, rank, chunk_id FROM one UNION ALL SELECT query, 2, rank, chunk_id FROM two
-            UNION ALL SELECT query, 3, rank, chunk_id FROM three
-        ),
-        first AS (
-            SELECT h.* FROM hits h ANTI JOIN ranked r ON r.query = h.query AND r.chunk_id = h.chunk_id
-            QUALIFY row_number() OVER (PARTITION BY h.query, h.chunk_id ORDER BY rank, search) = 1
+    "round_robin_research": f"{_RESEARCHED} SELECT query, position, chunk_id FROM added",
+    "second_passages": f"{_RESEARCHED} SELECT query, rank, chunk_id FROM second",
+    "closest_after_research": f"""
+        {_RESEARCHED},
+        f AS (
+            SELECT query, section_path, list, rank, title, pages[1].page AS page FROM (
+                SELECT query, 1 AS list, rank, chunk_id FROM ranked UNION ALL SELECT query, 0, position, chunk_id FROM added
+            ) JOIN ({_CHUNKS}) USING (chunk_id)
+            QUALIFY row_number() OVER (PARTITION BY query, section_path ORDER BY list, rank) = 1
         )
-        SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY rank, search) AS INTEGER) AS position, chunk_id
-        FROM first QUALIFY position <= 8
+        SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY list, rank) AS INTEGER) AS position, section_path, title, page
+        FROM f QUALIFY position <= 3
+    """,
+    "cited_added": f"""
+        {_RESEARCHED},
+        each AS (
+            SELECT row_id, unnest(CASE WHEN len(numbers) > 0 THEN numbers ELSE [NULL] END) AS number,
+                (row_id % (SELECT (count(*) + 49) // 50 FROM ({_CHUNKS}))) * 50 AS query
+            FROM (SELECT row_id, flatten(list_transform(parts, lambda p: coalesce(p.citations, []))) AS numbers FROM ({_ANSWERS}))
+        ),
+        dealt AS (
+            SELECT row_id, query, (row_id * 5 + number - 1) % size + 1 AS rank FROM each
+            JOIN (SELECT query, max(rank) AS size FROM second GROUP BY query) USING (query)
+        ),
+        citing AS (SELECT DISTINCT row_id FROM dealt JOIN second USING (query, rank) SEMI JOIN added USING (query, chunk_id))
+        SELECT row_id, c.row_id IS NOT NULL AS cites_added FROM (SELECT DISTINCT row_id FROM each) LEFT JOIN citing c USING (row_id)
+    """,
+    "search_eval": f"{_SEARCHED} SELECT id, ranked_rank, search_rank, keyword_net, section_hit FROM searched",
+    "search_summary": f"""
+        {_SEARCHED}
+        SELECT count(*) AS questions, count(ranked_rank) AS ranked_hits, count(search_rank) AS search_hits,
+            count_if(section_hit) AS section_hits, count(keyword_net) AS net_used,
+            count_if(keyword_net = 'added the answer') AS net_added_answer,
+            count_if(ranked_rank IS NOT NULL AND search_rank IS NULL) AS net_pushed_out
+        FROM searched
+    """,
+    "section_pages": """
+        SELECT section_id, min(page) AS start_page, max(page) AS end_page FROM blocks WHERE section_id IS NOT NULL GROUP BY section_id
     """,
     "index_roundtrip": f"""
         SELECT chunk_ord, chunk_id, CAST(len(e) AS INTEGER) AS dim,
@@ -398,18 +496,23 @@ SQL: dict[str, str] = {
         SELECT kind, CAST(len(s) AS BIGINT) AS n, s[CAST(floor(len(s) / 2) AS BIGINT) + 1] AS median
         FROM (SELECT kind, list_sort(list(length(answer))) AS s FROM ({_ANSWERS}) WHERE answer IS NOT NULL GROUP BY kind)
     """,
+    "line_texts": f"""
+        {_LINES} SELECT doc_id, page, line_ord, y, x, "right", size, text FROM lines
+    """,
     "line_geometry": f"""
-        WITH b AS (
-            SELECT section_id AS doc_id, block_ord AS page, coalesce(list_level, 0) AS lv,
-                list_filter(string_split({_COLLAPSE("text")}, ' '), lambda w: w <> '') AS words
-            FROM ({_BLOCKS}) WHERE kind = 'paragraph' AND text IS NOT NULL
+        {_LINES} SELECT doc_id, page, line_ord, y, x, "right", size FROM lines
+    """,
+    "indent_margins": rf"""
+        {_LINES},
+        page AS (SELECT doc_id, max("right") AS page_margin FROM lines GROUP BY doc_id),
+        counted AS (
+            SELECT doc_id, CAST(floor(x + 0.5) AS INTEGER) AS indent, list_sort(list("right")) AS s
+            FROM lines WHERE NOT regexp_matches(text, '^\d+[.)][{SPACE}]') GROUP BY ALL
         ),
-        i AS (SELECT doc_id, page, lv, unnest(words) AS str, unnest(range(len(words))) AS n FROM b),
-        x AS (
-            SELECT *, n // 4 AS line_ord, 50 + 30 * lv + (n % 4) * 120 AS x, least(length(str) * 5.5, 115.0) AS width FROM i
+        measured AS (
+            SELECT doc_id, indent, CAST(len(s) AS BIGINT) AS lines, s[CAST(floor((len(s) - 1) * 0.99) AS BIGINT) + 1] AS margin, page_margin
+            FROM counted JOIN page USING (doc_id)
         )
-        SELECT doc_id, page, CAST(line_ord AS INTEGER) AS line_ord, CAST(700 - 16 * line_ord AS DOUBLE) AS y,
-            CAST(min(x) AS DOUBLE) AS x, CAST(max(x + width) AS DOUBLE) AS "right", CAST(11 AS DOUBLE) AS size
-        FROM x GROUP BY doc_id, page, line_ord
+        SELECT *, lines >= 20 AND margin <= page_margin - 10 AS is_narrower FROM measured
     """,
 }

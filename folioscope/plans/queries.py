@@ -378,8 +378,12 @@ def retrieval_summary(spark: SparkSession, directory: str) -> DataFrame:
 def search_eval(spark: SparkSession, directory: str) -> DataFrame:
     """The ranking alone and with the keyword safety net, per answerable question."""
     read = lambda name: table(spark, directory, name)
-    ranked, targets = cut_lineage(bm25_topk(spark, directory)), cut_lineage(evidence_chunks(spark, directory))
-    return evaluate.search_evaluation(ranked, rare_word_match(spark, directory), targets, read("questions"), read("chunks"))
+    index, questions = read("keyword_index"), read("questions")
+    held = keyword.postings_of(index, keyword.question_terms(questions))
+    ranked = cut_lineage(keyword.bm25_best(index, questions, TOP_K, held))
+    matches = cut_lineage(keyword.rare_word_match(index, questions, held))
+    targets = cut_lineage(evidence_chunks(spark, directory))
+    return evaluate.search_evaluation(ranked, matches, targets, questions, read("chunks"))
 
 
 def search_summary(spark: SparkSession, directory: str) -> DataFrame:
