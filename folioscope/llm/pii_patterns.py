@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 from typing import NamedTuple
 
+import ahocorasick
 import regex
 import xxhash
 
@@ -88,6 +90,9 @@ _FAMILY = rf"(?:(?i:{PARTICLES}){S}(?:(?i:{PARTICLES}){S})*)?{WORD}"
 _LOWER = r"\p{Ll}[\p{L}’'\-]+"
 _END = r"(?![\p{L}\p{N}@_]|[’'\-]\p{L})"
 CAPITAL = re.compile(r"(?<![\w@.+’'\-])[^\W\d_a-zà-öø-ÿ]|(?<=[ \n(\"]\.)[A-Z]")
+#: What every match of the two patterns below starts with; looked up before they run, since few capitals start a name.
+GIVEN_QUICK = re.compile(rf"[^\W\d_](?:[\w’'\-]*[ \n]|\.[ \n]?)(?:[^\W\d_a-zà-öø-ÿ]|(?i:{PARTICLES})[ \n])")
+FAMILY_QUICK = re.compile(rf"(?:(?i:{PARTICLES})[ \n])*[^\W\d_][\w’'\-]*,[ \n]")
 GIVEN_FIRST = regex.compile(
     rf"(?P<given>\p{{Lu}}\.|{WORD}){S}?(?P<mid>(?:(?<=[ ])\p{{Lu}}\.{S}?)?)(?<=[ \n.])(?P<family>{_FAMILY}){_END}"
 )
@@ -99,10 +104,11 @@ LOWER_GIVEN_FIRST = regex.compile(
 )
 LOWER_FAMILY_FIRST = regex.compile(rf"(?P<family>{_LOWER}),{S}(?P<given>{_LOWER})(?P<mid>){_LOWER_END}")
 LOWER_WORD = re.compile(r"(?<![\w@.+’'\-/])[a-zà-öø-ÿ][\w’'\-]+")
-LOWER_RUN = regex.compile(rf"(?<![\p{{L}}’'\-]){_LOWER}")
+LOWER_RUN = re.compile(r"(?<![\w’'\-])[^\W\d_A-Z][\w’'\-]+")
 LOWER_SHORTER = regex.compile(rf"({_LOWER})[’'\-](?=[’'\-])")
 TITLE = regex.compile(r"(?<!\p{L})(\p{L}+)\.?\s*\Z")
 HAS_DIGIT = re.compile(r"\d").search
+DIGIT, DIGIT_RUN, UPPER, LOWER = (regex.compile(x) for x in (r"\d", r"\d+", r"\p{Lu}", r"\p{Ll}"))
 TOKEN = regex.compile(r"[\p{L}\p{N}]+(?:[’'\-][\p{L}\p{N}]+)*|\n|[^\s\p{L}\p{N}]")
 
 #: Characters that stand for one other, and those whose removal or joining moves the places of the rest.
@@ -149,7 +155,7 @@ def plain(text: str) -> tuple[str, list[int] | None]:
 
     The places are None if nothing changed.
     """
-    if text.isascii():
+    if text.isascii() or (unicodedata.is_normalized("NFKC", text) and not ODD.search(text)):
         return text, None
     if not ODD.search(text):
         return text.translate(FOLD), None
@@ -185,7 +191,7 @@ def _shown(token: str) -> str:
         return token.lower()
     if token.isdigit():
         return f"9x{min(len(token), 6)}"
-    return regex.sub(r"\d+", "9", token.lower())
+    return DIGIT_RUN.sub("9", token.lower())
 
 
 def _around(text: str, start: int, end: int, group: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
@@ -205,7 +211,7 @@ def _around(text: str, start: int, end: int, group: str) -> tuple[tuple[str, ...
 
 
 def _form(text: str) -> str:
-    return regex.sub(r"\p{Lu}", "A", regex.sub(r"\p{Ll}", "a", regex.sub(r"\d", "9", text)))
+    return UPPER.sub("A", LOWER.sub("a", DIGIT.sub("9", text)))
 
 
 def lettered_sites(text: str) -> list[Site]:
@@ -287,15 +293,22 @@ def email_sites(text: str) -> list[Site]:
     return sites
 
 
+@cache
+def _hints() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for hint in ADDRESS_HINTS:
+        found.add_word(hint, len(hint))
+    found.make_automaton()
+    return found
+
+
 def address_sites(text: str) -> list[Site]:
     sites = []
     windows = []
-    for hint in ADDRESS_HINTS:
-        at = text.find(hint)
-        while at >= 0:
-            if HAS_DIGIT(text, max(0, at - 40), min(len(text), at + len(hint) + 34)):
-                windows.append((max(0, at - 60), min(len(text), at + 110)))
-            at = text.find(hint, at + 1)
+    for last, length in _hints().iter(text):
+        at = last + 1 - length
+        if HAS_DIGIT(text, max(0, at - 40), min(len(text), at + length + 34)):
+            windows.append((max(0, at - 60), min(len(text), at + 110)))
     joined: list[list[int]] = []
     for low, high in sorted(windows):
         if joined and low <= joined[-1][1]:
@@ -366,9 +379,9 @@ def capital_name_sites(text: str, known: dict[str, set[str]]) -> list[Site]:
     sites: list[Site] = []
     for capital in CAPITAL.finditer(text):
         at = capital.start()
-        if match := GIVEN_FIRST.match(text, at):
+        if GIVEN_QUICK.match(text, at) and (match := GIVEN_FIRST.match(text, at)):
             _name_at(sites, text, at, match, "gf", "c", known, None)
-        if match := FAMILY_FIRST.match(text, at):
+        if FAMILY_QUICK.match(text, at) and (match := FAMILY_FIRST.match(text, at)):
             _name_at(sites, text, at, match, "fg", "c", known, None)
             if particle := BEFORE_FAMILY.search(text, max(0, at - 16), at):
                 _name_at(sites, text, particle.start(), match, "fg", "c", known, None)
@@ -379,17 +392,24 @@ def lower_name_sites(text: str, known: dict[str, set[str]], is_name_part=None) -
     """Sites of personal names in lower case; ``is_name_part(kind, word)`` says which words are worth a look."""
     likely = is_name_part or (lambda kind, word: word in known["given" if kind == "g" else "family"])
     sites: list[Site] = []
-    hits = {w for w in set(LOWER_WORD.findall(text)) if likely("g", w) or likely("f", w)}
-    if hits:
-        for word in LOWER_WORD.finditer(text):
-            if word.group() in hits:
-                if match := LOWER_GIVEN_FIRST.match(text, word.start()):
-                    _name_at(sites, text, word.start(), match, "gf", "l", known, likely)
-                if match := LOWER_FAMILY_FIRST.match(text, word.start()):
-                    _name_at(sites, text, word.start(), match, "fg", "l", known, likely)
-                    if particle := BEFORE_FAMILY.search(text, max(0, word.start() - 16), word.start()):
+    words = set(LOWER_WORD.findall(text))
+    if is_name_part:
+        hits = {w for w in words if is_name_part("g", w) or is_name_part("f", w)}
+    else:
+        hits = {w for part in ("given", "family") for w in words & known[part]}
+    for hit in hits:
+        start = text.find(hit)
+        while start >= 0:
+            word = LOWER_WORD.match(text, start)
+            if word and word.end() == start + len(hit):
+                if match := LOWER_GIVEN_FIRST.match(text, start):
+                    _name_at(sites, text, start, match, "gf", "l", known, likely)
+                if match := LOWER_FAMILY_FIRST.match(text, start):
+                    _name_at(sites, text, start, match, "fg", "l", known, likely)
+                    if particle := BEFORE_FAMILY.search(text, max(0, start - 16), start):
                         _name_at(sites, text, particle.start(), match, "fg", "l", known, likely)
-    return sites
+            start = text.find(hit, start + len(hit))
+    return sorted(sites, key=lambda s: s.start)
 
 
 def lower_words(text: str) -> set[str]:
@@ -397,7 +417,7 @@ def lower_words(text: str) -> set[str]:
 
     Where a sign follows a word, the patterns give up marks at its end.
     """
-    words = set(LOWER_RUN.findall(text))
+    words = set(LOWER_RUN.findall(text))  # more than are asked for: a run can have digits
     for word in [w for w in words if not w.isalpha()]:
         words.add(word[:-1])
         if shorter := LOWER_SHORTER.match(word):
