@@ -19,6 +19,7 @@ BODY_LEFT, LIST_INDENT = 50, 30
 MARGIN_TOLERANCE, MEASURED_TOLERANCE = 20, 10
 WRAP_LINES, NARROWER_BY = 20, 10
 
+# Print headers and footers, and paths of sources.
 HEADER = r"^\d{1,2}/\d{1,2}/\d{2}, \d{1,2}:\d{2} [AP]M .*handbook\z"
 FOOTER = r"^file:///\S+ \d+/\d+\z"
 SOURCE_PATH = r"^contents/handbook/\S+\.md\z"
@@ -287,3 +288,45 @@ def section_pages(blocks: DataFrame) -> DataFrame:
         .groupBy("section_id")
         .agg(F.min("page").alias("start_page"), F.max("page").alias("end_page"))
     )
+
+
+def section_lines(sections: DataFrame, blocks: DataFrame, across: int = 8) -> DataFrame:
+    """Sections as the lines of a printed document each, to run the section parser over the given tables.
+
+    A title and a path open the document; headings are larger print; paragraphs have ``across`` words to a line, with
+    the gaps, indents and right ends of print.  Blocks without a text, page or section are left out.
+    """
+    named = sections.where("section_id is not null and path is not null and start_page is not null").dropDuplicates(["section_id"])
+    held = blocks.where("section_id is not null and text is not null and page is not null").dropDuplicates(["section_id", "block_ord"])
+    held = held.join(named.select("section_id"), "section_id", "left_semi").withColumn("bare", T.collapse(F.col("text"))).where("bare <> ''")
+    word = lambda i: F.slice(F.split("bare", " "), i * across + 1, across)
+    rows = F.ceil(F.size(F.split("bare", " ")) / across).cast("int")
+    text = F.when(F.col("kind") == "heading", F.array("bare")).otherwise(
+        F.transform(F.sequence(F.lit(0), rows - 1), lambda i: F.array_join(word(i), " "))
+    )
+    size = F.when(F.col("kind") != "heading", 11.0).when(F.coalesce("level", F.lit(3)) <= 2, 15.0).otherwise(13.0)
+    left = BODY_LEFT + LIST_INDENT * F.coalesce("list_level", F.lit(0))
+    body = held.select(
+        F.col("section_id").alias("doc_id"), "page", "block_ord", size.alias("size"), left.cast("double").alias("x"), F.size(text).alias("lines"),
+        F.posexplode(text).alias("at", "text"),
+    )
+    full = (F.col("at") < F.col("lines") - 1) & (F.col("size") < HEADING_SIZE)
+    body = body.select(
+        "doc_id", "page", F.col("block_ord").alias("a"), F.col("at").alias("b"), "x", "size", "text",
+        F.when(full, 560.0).otherwise(F.least(F.lit(560.0), F.col("x") + 5.5 * F.length("text"))).alias("right"),
+    )
+    lead = named.select(
+        F.col("section_id").alias("doc_id"),
+        F.col("start_page").alias("page"),
+        F.inline(
+            F.array(
+                F.struct(F.lit(-2).alias("a"), F.lit(22.0).alias("size"), F.coalesce("title", F.lit("Untitled")).alias("text")),
+                F.struct(F.lit(-1).alias("a"), F.lit(8.5).alias("size"), F.col("path").alias("text")),
+            )
+        ),
+    ).select("doc_id", "page", "a", F.lit(0).alias("b"), F.lit(float(BODY_LEFT)).alias("x"), "size", "text", F.lit(300.0).alias("right"))
+    # Down the page: a line's height within a block, a paragraph's gap between blocks.
+    every = lead.unionByName(body)
+    top = (F.col("a") + 3) * 4000.0 + F.col("b") * 16.0
+    number = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("a", "b")) - 1
+    return every.select("doc_id", "page", number.alias("line_ord"), (-top).alias("y"), "x", "right", "size", "text")

@@ -265,6 +265,21 @@ def call_table(nodes: DataFrame) -> DataFrame:
     return _once(rows, "n").withColumnRenamed("n", "tokens")
 
 
+def research_table(nodes: DataFrame) -> DataFrame:
+    """``trace_id, first, outcome``: what the first reply of a trace was, and what became of the search for its gaps.
+
+    Both are texts directly in a `research` object; `first` can be an object with the text as its `status`.
+    """
+    research = _named(nodes, "research", "object").select("line_id", F.col("pre").alias("parent"), F.lit(True).alias("known"))
+    held = nodes.where("name in ('first', 'outcome')").join(research, ["line_id", "parent"])
+    status = nodes.where("name = 'status' and kind = 'string'").select(
+        "line_id", F.col("parent").alias("pre"), F.col("value").alias("inner")
+    )
+    found = held.join(status, ["line_id", "pre"], "left").withColumn("item", F.coalesce("inner", "value"))
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("item"))).alias(name)
+    return found.groupBy("trace_id").agg(of("first"), of("outcome"))
+
+
 #: Scalar fields of a trace; fixed values of the log format.
 TRACE_FIELDS = [
     "question", "searchedFor", "status", "notCoveredReason", "errorCode", "citations", "droppedCitations",

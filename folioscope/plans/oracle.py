@@ -222,6 +222,101 @@ _LINES = f"""
         FROM g GROUP BY doc_id, page, line_ord
     )
 """
+_RESOLVED = f"""
+    WITH c AS (
+        SELECT chunk_id, chunk_ord, flatten(list_transform(list_filter(pages, lambda p: p.text IS NOT NULL),
+            lambda p: list_transform(string_split(p.text, chr(10)), lambda t: {{'page': p.page, 'text': t}}))) AS b
+        FROM ({_CHUNKS})
+    ),
+    e AS (
+        SELECT row_id, part, CAST(unnest(range(len(numbers))) AS INTEGER) AS position, unnest(numbers) AS number FROM (
+            SELECT row_id, CAST(i - 1 AS INTEGER) AS part, parts[i].citations AS numbers
+            FROM (SELECT row_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM ({_ANSWERS}))
+        )
+    ),
+    r AS (
+        SELECT row_id, part, position, number, chunk_id, len(b) AS blocks, (row_id + position) % (len(b) + 1) AS start,
+            1 + (row_id + number) % 3 AS length,
+            b[(row_id + position) % (len(b) + 1) + 1:(row_id + position) % (len(b) + 1) + 1 + (row_id + number) % 3] AS q
+        FROM e JOIN c ON c.chunk_ord = (e.row_id * 5 + e.number - 1) % (SELECT count(*) FROM c) WHERE number >= 1
+    ),
+    v AS (
+        SELECT * FROM r WHERE start + length <= blocks AND (row_id + part) % 7 <> 0 AND (row_id + part) % 11 <> 0
+    ),
+    k AS (
+        SELECT row_id, number, start, length, row_number() OVER (PARTITION BY row_id ORDER BY min(part * 1000000 + position)) AS n
+        FROM v GROUP BY row_id, number, start, length
+    ),
+    resolved AS (
+        SELECT row_id, part, position, CAST(n AS INTEGER) AS n, chunk_id,
+            array_to_string(list_transform(list_filter(range(1, len(q) + 1), lambda i: NOT list_contains(list_transform(q[1:i - 1], lambda x: x.page), q[i].page)), lambda i: q[i].page), ',') AS pages,
+            array_to_string(list_transform(q, lambda x: x.text), chr(10)) AS quote
+        FROM v JOIN k USING (row_id, number, start, length)
+    )
+"""
+_CUT = lambda rest: (
+    f"CASE WHEN length({rest}) <= 1000 THEN NULL "
+    + " ".join(
+        f"WHEN length(regexp_extract(substr({rest}, 1, 1001), '{end}', 1)) > 0 THEN length(regexp_extract(substr({rest}, 1, 1001), '{end}', 1))"
+        for end in ("(?s)^(.+[.!?]) ", "(?s)^(.+) ")
+    )
+    + " ELSE 1000 END"
+)
+# Paragraphs in pieces, then each piece in turn into the open chunk of its run of paragraphs, or into the next one.
+_CHUNKED = rf"""
+    WITH RECURSIVE b AS (SELECT *, kind = 'heading' AS h, coalesce(text, '') AS t FROM ({_BLOCKS})),
+    w AS (
+        SELECT *, coalesce(max(CASE WHEN h THEN block_ord END) OVER r, -1) AS run,
+            max(CASE WHEN h AND level = 1 THEN block_ord END) OVER r AS pos1, max(CASE WHEN h AND level = 2 THEN block_ord END) OVER r AS pos2
+        FROM b WINDOW r AS (PARTITION BY section_id ORDER BY block_ord)
+    ),
+    trails AS (
+        SELECT w.section_id, w.block_ord AS run, CASE
+            WHEN w.level = 1 THEN w.t WHEN w.level = 2 THEN concat_ws(' › ', b1.t, w.t)
+            ELSE concat_ws(' › ', b1.t, CASE WHEN pos1 IS NULL OR pos2 > pos1 THEN b2.t END, w.t) END AS trail
+        FROM w LEFT JOIN b b1 ON b1.section_id = w.section_id AND b1.block_ord = pos1
+        LEFT JOIN b b2 ON b2.section_id = w.section_id AND b2.block_ord = pos2 WHERE w.h
+    ),
+    s AS (
+        SELECT section_id, run, block_ord, page, -1 AS piece_ord, CAST(NULL AS VARCHAR) AS piece, CASE
+            WHEN coalesce(list_level, 0) <= 0 THEN text
+            WHEN coalesce(continued, FALSE) THEN repeat('  ', list_level) || text
+            WHEN regexp_matches(text, '^\d+[.)][{SPACE}]') THEN repeat('  ', list_level - 1) || text
+            ELSE repeat('  ', list_level - 1) || '- ' || text END AS rest
+        FROM w WHERE kind = 'paragraph' AND text IS NOT NULL
+        UNION ALL
+        SELECT section_id, run, block_ord, page, piece_ord + 1,
+            CASE WHEN cut IS NULL THEN rest ELSE regexp_replace(substr(rest, 1, cut), '[{SPACE}]+$', '') END,
+            CASE WHEN cut IS NULL THEN '' ELSE regexp_replace(substr(rest, cut + 1), '^[{SPACE}]+', '') END
+        FROM (SELECT *, {_CUT("rest")} AS cut FROM s WHERE rest <> '')
+    ),
+    pieces AS (
+        SELECT section_id, run, page, piece, row_number() OVER (PARTITION BY section_id, run ORDER BY block_ord, piece_ord) AS i
+        FROM s WHERE piece_ord >= 0 AND piece <> ''
+    ),
+    packed AS (
+        SELECT section_id, run, i, page, piece, 0 AS number, length(piece) AS size FROM pieces WHERE i = 1
+        UNION ALL
+        SELECT p.section_id, p.run, p.i, p.page, p.piece, CASE WHEN k.size + 1 + length(p.piece) > 1000 THEN k.number + 1 ELSE k.number END,
+            CASE WHEN k.size + 1 + length(p.piece) > 1000 THEN length(p.piece) ELSE k.size + 1 + length(p.piece) END
+        FROM packed k JOIN pieces p ON p.section_id = k.section_id AND p.run = k.run AND p.i = k.i + 1
+    ),
+    turns AS (
+        SELECT *, page IS DISTINCT FROM lag(page) OVER (PARTITION BY section_id, run, number ORDER BY i)
+            OR i = min(i) OVER (PARTITION BY section_id, run, number) AS turn FROM packed
+    ),
+    filled AS (
+        SELECT section_id, run, number, string_agg(piece, chr(10) ORDER BY i) AS body,
+            coalesce(string_agg(CAST(page AS VARCHAR), ',' ORDER BY i) FILTER (turn), '') AS pages
+        FROM turns GROUP BY ALL
+    ),
+    chunked AS (
+        SELECT n.path || '#' || (row_number() OVER (PARTITION BY f.section_id ORDER BY f.run, f.number) - 1) AS chunk_id, f.section_id,
+            concat_ws(' › ', coalesce(n.title, ''), t.trail) AS title, pages, body
+        FROM filled f LEFT JOIN trails t USING (section_id, run)
+        JOIN (SELECT DISTINCT section_id, title, path FROM sections WHERE section_id IS NOT NULL AND path IS NOT NULL) n USING (section_id)
+    )
+"""
 _OPENING = rf"regexp_extract(first.text, '(?s)^(.*?(?:[.!?:](?:[{SPACE}]|$)|\n))', 1)"
 
 SQL: dict[str, str] = {
@@ -451,29 +546,26 @@ SQL: dict[str, str] = {
             WHEN cited = 0 THEN 'no-citations' ELSE 'answered' END AS verdict
         FROM a
     """,
-    "resolve_citations": f"""
-        WITH c AS ({_CHUNKS}), n AS (SELECT count(*) AS n FROM c),
-        b AS (
-            SELECT chunk_id, p.page AS page, string_split(p.text, chr(10))[1] AS text
-            FROM (SELECT chunk_id, list_filter(pages, lambda p: p.text IS NOT NULL)[1] AS p FROM c) WHERE p IS NOT NULL
-        ),
-        e AS (
-            SELECT row_id, part, CAST(unnest(range(len(numbers))) AS INTEGER) AS position, unnest(numbers) AS number FROM (
-                SELECT row_id, CAST(i - 1 AS INTEGER) AS part, parts[i].citations AS numbers
-                FROM (SELECT row_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM ({_ANSWERS}))
-            )
-        ),
-        v AS (
-            SELECT row_id, part, position, number, chunk_id, page, text
-            FROM e JOIN c ON c.chunk_ord = (e.row_id * 5 + e.number - 1) % (SELECT n FROM n) JOIN b USING (chunk_id)
-            WHERE number >= 1 AND ((row_id + part) % 7 <> 0 OR {_SQUASH("text || ' and more'")} = {_SQUASH("text")})
-        ),
-        k AS (
-            SELECT row_id, number, row_number() OVER (PARTITION BY row_id ORDER BY min(part * 1000000 + position)) AS n
-            FROM v GROUP BY row_id, number
-        )
-        SELECT row_id, part, position, CAST(n AS INTEGER) AS n, chunk_id, CAST(page AS VARCHAR) AS pages, text AS quote
-        FROM v JOIN k USING (row_id, number)
+    "resolve_citations": f"{_RESOLVED} SELECT row_id, part, position, n, chunk_id, pages, quote FROM resolved",
+    "citation_cards": rf"""
+        {_RESOLVED}
+        SELECT row_id, part, position, n, CASE WHEN contains(pages, ',') THEN 'pp. ' ELSE 'p. ' END || replace(pages, ',', '–') AS label,
+            regexp_replace(quote, '^[{SPACE}]*- ', '') AS preview
+        FROM resolved
+    """,
+    "question_sets_roundtrip": f"""
+        SELECT id, question, CASE WHEN NOT coalesce(out_of_scope, FALSE) THEN array_to_string(expect, '|') END AS expect,
+            coalesce(out_of_scope, FALSE) AS out_of_scope, answer, evidence, pool, style FROM ({_QUESTIONS})
+    """,
+    "results_roundtrip": f"SELECT row_id, id, outcome, grade FROM ({_GRADED})",
+    "chunk_sections": f"""
+        {_CHUNKED} SELECT chunk_id, section_id, title, pages, body FROM chunked
+    """,
+    "ingest_terms": f"""
+        {_CHUNKED}
+        SELECT term, count(*) AS passages FROM (
+            SELECT DISTINCT chunk_id, unnest({_TERMS("title || ' ' || body")}) AS term FROM chunked
+        ) GROUP BY term
     """,
     "evidence_chunks": _EVIDENCE,
     "missing_expectations": f"""

@@ -11,8 +11,8 @@ from folioscope.functions import text as T
 from folioscope.functions.words import DOLLARS_PER_MILLION, MAX_CHUNK_CHARS, MAX_EXTRA_PASSAGES, TOP_K
 from folioscope.operators import chunking, evaluate, grounding, keyword, layout, nested, semantic
 from folioscope.plans import oracle
-from folioscope.session import cut_lineage
-from folioscope.sources import index_store
+from folioscope.session import cut_lineage, shared_path
+from folioscope.sources import index_store, question_sets
 from folioscope.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -320,32 +320,50 @@ def composed_gate(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def resolve_citations(spark: SparkSession, directory: str) -> DataFrame:
-    """Each citation number of an answer's parts as a quote of a block of one of five chunks, every seventh one false."""
-    blocks = cut_lineage(grounding.citable_blocks(table(spark, directory, "chunks")))
+    """Each citation number of an answer's parts as a quote of one to three blocks of one of five chunks.
+
+    Some ranges leave the chunk, every seventh quote says more than its blocks, every eleventh is of another type.
+    """
+    chunks = table(spark, directory, "chunks")
     n = _chunk_ids(spark, directory).count()
     each = (
         _answers(spark, directory)
         .where(F.size("parts") > 0)
         .select("row_id", F.posexplode("parts").alias("part", "p"))
         .select("row_id", "part", F.posexplode("p.citations").alias("position", "number"))
+        .where("number >= 1")
         .withColumn("document_index", F.col("number") - 1)
         .withColumn("chunk_ord", F.pmod(F.col("row_id") * 5 + F.col("document_index"), F.lit(max(n, 1))).cast("int"))
     )
     pointed = each.join(_chunk_ids(spark, directory).select("chunk_ord", "chunk_id"), "chunk_ord")
-    first = blocks.where("block_index = 0").select("chunk_id", "text")
-    false = F.pmod(F.col("row_id") + F.col("part"), F.lit(7)) == 0
-    raw = pointed.join(first, "chunk_id").select(
-        F.col("row_id").alias("query"),
-        "part",
-        "position",
-        F.lit("content_block_location").alias("type"),
-        "document_index",
-        F.lit(0).alias("start_block"),
-        F.lit(1).alias("end_block"),
-        F.when(false, F.concat("text", F.lit(" and more"))).otherwise(F.concat(F.lit(" "), "text")).alias("cited_text"),
-    )
     documents = pointed.select(F.col("row_id").alias("query"), "document_index", "chunk_id").distinct()
-    return grounding.resolve_citations(raw, documents, blocks).withColumnRenamed("query", "row_id")
+    start = F.pmod(F.col("row_id") + F.col("position"), F.size("blocks") + 1).cast("int")
+    length = (1 + F.pmod(F.col("row_id") + F.col("number"), F.lit(3))).cast("int")
+    within = F.array_join(F.transform(F.slice("blocks", F.col("start_block") + 1, F.col("length")), lambda b: b["text"]), "  ")
+    false, strange = F.pmod(F.col("row_id") + F.col("part"), F.lit(7)) == 0, F.pmod(F.col("row_id") + F.col("part"), F.lit(11)) == 0
+    raw = (
+        pointed.join(grounding.block_lists(chunks), "chunk_id")
+        .withColumns({"start_block": start, "length": length})
+        .select(
+            F.col("row_id").alias("query"),
+            "part",
+            "position",
+            F.when(strange, "page_location").otherwise("content_block_location").alias("type"),
+            "document_index",
+            "start_block",
+            (F.col("start_block") + F.col("length")).alias("end_block"),
+            F.when(false, F.concat(within, F.lit(" and more"))).otherwise(within).alias("cited_text"),
+        )
+    )
+    return grounding.resolve_citations(raw, documents, grounding.citable_blocks(chunks)).withColumnRenamed("query", "row_id")
+
+
+def citation_cards(spark: SparkSession, directory: str) -> DataFrame:
+    """The pages of each valid citation as a label, and its quote as a preview."""
+    found = resolve_citations(spark, directory)
+    return found.select(
+        "row_id", "part", "position", "n", grounding.page_label(F.split("pages", ",")).alias("label"), grounding.quote_preview(F.col("quote")).alias("preview")
+    )
 
 
 # Evaluation.
@@ -440,6 +458,26 @@ def reading_checks(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def research_checks(spark: SparkSession, directory: str) -> DataFrame:
+    research = nested.research_table(_nodes(spark, directory, "research"))
+    return evaluate.research_checks(table(spark, directory, "answer_eval"), research)
+
+
+def question_sets_roundtrip(spark: SparkSession, directory: str) -> DataFrame:
+    """The questions written as JSON lines and read back."""
+    path = shared_path(spark, "questions")
+    question_sets.write_questions(evaluate.distinct_questions(table(spark, directory, "questions")), path)
+    read = question_sets.read_questions(spark, path)
+    return read.select("id", "question", F.array_join("expect", "|").alias("expect"), "out_of_scope", "answer", "evidence", "pool", "style")
+
+
+def results_roundtrip(spark: SparkSession, directory: str) -> DataFrame:
+    """The grades of all answers written as results and read back."""
+    path = shared_path(spark, "results")
+    question_sets.write_results(grade_answers(spark, directory), path)
+    return spark.read.schema("row_id long, id string, outcome string, grade string").json(path)
+
+
 def answer_length_medians(spark: SparkSession, directory: str) -> DataFrame:
     return evaluate.upper_median(_answers(spark, directory), "kind", F.length("answer"))
 
@@ -454,6 +492,19 @@ def trace_costs(spark: SparkSession, directory: str) -> DataFrame:
 # Layout.
 
 
+def parsed_sections(spark: SparkSession, directory: str) -> DataFrame:
+    """Sections laid out as printed lines and parsed into blocks again."""
+    lines = layout.section_lines(table(spark, directory, "sections"), table(spark, directory, "blocks"))
+    return layout.section_blocks(lines)
+
+
+def ingest_terms(spark: SparkSession, directory: str) -> DataFrame:
+    """From blocks to chunks to a keyword index: in how many of the new chunks each term occurs."""
+    chunks = chunking.chunk_sections(table(spark, directory, "blocks"), table(spark, directory, "sections"))
+    index = chunks.select("chunk_id", "title", T.body_text(F.col("pages")).alias("body"))
+    return keyword.document_frequency(keyword.postings(index))
+
+
 def section_pages(spark: SparkSession, directory: str) -> DataFrame:
     return layout.section_pages(table(spark, directory, "blocks"))
 
@@ -481,10 +532,11 @@ _ALL = (
     semantic_topk, vector_products, hybrid_search, closest_sections, round_robin_research, index_roundtrip,
     second_passages, closest_after_research, cited_added,
     citable_blocks, gap_lines, dedupe_gaps, searchable_gaps, uncited_claims, restatements, passage_remarks, answer_texts,
-    gate_verdict, resolve_citations, composed_gate,
+    gate_verdict, resolve_citations, citation_cards, composed_gate,
     evidence_chunks, missing_expectations, retrieval_eval, retrieval_summary, search_eval, search_summary, grade_answers, outcome_counts,
     unknown_answers, reading_checks, answer_length_medians, trace_costs,
-    line_texts, line_geometry, indent_margins, section_pages,
+    line_texts, line_geometry, indent_margins, section_pages, parsed_sections, ingest_terms,
+    research_checks, question_sets_roundtrip, results_roundtrip,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = oracle.SQL

@@ -4,18 +4,30 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only a session without one (a test) gets a folder of its own."""
+    """Use the cluster's shared folder; only a local session without one (a test) gets a folder of its own.
+
+    On a cluster a folder of one machine would not do, so there a missing setting is an error.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioscope-")
-    context.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: name a folder that all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="folioscope-"))
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4()}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.session import ensure_checkpoint_dir
+from folioscope.session import shared_path
 
 VERSION = 2
 
@@ -60,8 +58,7 @@ def is_stale(spark: SparkSession, path: str, source: str) -> bool:
 def round_trip(indexed: DataFrame, model: str = "given", dtype: str = "float32", dim: int = 64) -> DataFrame:
     """Write rows (chunk_ord, chunk_id, ..., embedding) to the shared folder as an index and read them back."""
     spark = indexed.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/index-{uuid.uuid4()}"
+    path = shared_path(spark, "index")
     write_index(indexed.drop("embedding"), indexed.select("chunk_ord", "embedding"), path, model, dtype, dim)
     chunks, vectors = read_index(spark, path, model, dtype, dim)
     return chunks.join(vectors, "chunk_ord")
