@@ -48,7 +48,7 @@ TAIL = (
     rf"(?:,?{S}\d{{5}})?(?:,?{S}\p{{Lu}}\p{{Ll}}+(?:,?{S}(?:[A-Z]{{1,2}}\d{{1,2}}[A-Z]?[ ]\d[A-Z]{{2}}|\d{{5}})\b|(?<=,[ \n]\p{{Lu}}\p{{Ll}}{{3,20}})))?"
 )
 ADDRESSES = {
-    "en": rf"{UNIT}(?<![\p{{L}}\d.,/:\-]){NUMBER},?{S}(?:(?:St\.|\d{{1,3}}(?:st|nd|rd|th)|{WORD}){S}){{1,4}}?(?i:(?:{STREET_TYPES})\b|(?:{STREET_SHORT})\b\.?)(?![ \n](?:Map|Show|Test)\b)",
+    "en": rf"{UNIT}(?<![\p{{L}}\d.,/:\-]){NUMBER},?{S}(?:(?:St\.|\d{{1,3}}(?:st|nd|rd|th)|{WORD}){S}){{1,4}}?(?i:(?:{STREET_TYPES})\b|(?:{STREET_SHORT})\b\.?)",
     "de": rf"(?:\p{{Lu}}\p{{L}}*(?:-\p{{L}}+)*(?:{GERMAN_ENDINGS})|(?:\p{{Lu}}\p{{L}}+[ -])(?:(?i:straße|strasse|str\.|weg|gasse|allee|platz))|(?:{GERMAN_STARTS}){S}\p{{Lu}}\p{{L}}+){S}{NUMBER}",
     "fr": rf"{UNIT}(?<![\p{{L}}\d.,/:\-]){NUMBER},?{S}(?:(?:bis|ter),?{S})?(?i:{FRENCH_TYPES}){S}(?:(?:de|du|des|la|le|les|aux?){S}|(?:l|d)[’'])*{WORD}(?:{S}{WORD})?",
     "es": rf"(?:{SPANISH_TYPES}){S}?(?:(?:de|del|la|las|los|el){S})*{WORD}(?:{S}(?:(?:de|del|la|las|los){S})*{WORD})*,?{S}(?:n\.?º[ ]?)?{NUMBER}",
@@ -93,6 +93,8 @@ CAPITAL = re.compile(r"(?<![\w@.+’'\-])[^\W\d_a-zà-öø-ÿ]|(?<=[ \n(\"]\.)[A
 #: What every match of the two patterns below starts with; looked up before they run, since few capitals start a name.
 GIVEN_QUICK = re.compile(rf"[^\W\d_](?:[\w’'\-]*[ \n]|\.[ \n]?)(?:[^\W\d_a-zà-öø-ÿ]|(?i:{PARTICLES})[ \n])")
 FAMILY_QUICK = re.compile(rf"(?:(?i:{PARTICLES})[ \n])*[^\W\d_][\w’'\-]*,[ \n]")
+UPPER_START = re.compile(rf"(?:{CAPITAL.pattern})(?=[^\W\d_a-zà-öø-ÿ])")
+UPPER_RUN = re.compile(r"(?<![\w’'\-])[^\W\d_a-zà-öø-ÿ][^\Wa-zà-öø-ÿ][\w’'\-]*")
 GIVEN_FIRST = regex.compile(
     rf"(?P<given>\p{{Lu}}\.|{WORD}){S}?(?P<mid>(?:(?<=[ ])\p{{Lu}}\.{S}?)?)(?<=[ \n.])(?P<family>{_FAMILY}){_END}"
 )
@@ -369,25 +371,36 @@ def _name_at(
     if style == "l" and not (likely("g", given.lower()) and likely("f", core)):
         return
     if style == "u" and given.lower() not in known["given"] and core not in known["family"]:
-        return  # in a text all in capitals case tells nothing, and there are many such pairs of words
+        # Where all is in capitals case tells nothing, and there are many such pairs of words.
+        if likely is None or not (likely("g", given.lower()) and likely("f", core)):
+            return
     if site := _name_site(text, start, match.end(), given, family, order, bool(match["mid"]), style, known):
         sites.append(site)
 
 
-def capital_name_sites(text: str, known: dict[str, set[str]]) -> list[Site]:
-    """Sites of personal names that start with a capital."""
+def capital_name_sites(text: str, known: dict[str, set[str]], is_name_part=None, starts=CAPITAL) -> list[Site]:
+    """Sites of personal names that start with a capital; in text all in capitals, names with a part on the staff list, or
+    with parts that ``is_name_part(kind, word)`` knows from other text."""
     sites: list[Site] = []
-    for capital in CAPITAL.finditer(text):
+    for capital in starts.finditer(text):
         at = capital.start()
         if GIVEN_QUICK.match(text, at) and (match := GIVEN_FIRST.match(text, at)):
-            _name_at(sites, text, at, match, "gf", "c", known, None)
+            _name_at(sites, text, at, match, "gf", "c", known, is_name_part)
         if FAMILY_QUICK.match(text, at) and (match := FAMILY_FIRST.match(text, at)):
-            _name_at(sites, text, at, match, "fg", "c", known, None)
+            _name_at(sites, text, at, match, "fg", "c", known, is_name_part)
             if particle := BEFORE_FAMILY.search(text, max(0, at - 16), at):
-                _name_at(sites, text, particle.start(), match, "fg", "c", known, None)
+                _name_at(sites, text, particle.start(), match, "fg", "c", known, is_name_part)
     return sites
 
 
+def upper_name_sites(text: str, known: dict[str, set[str]], is_name_part) -> list[Site]:
+    """Those in text all in capitals that ``capital_name_sites`` finds by ``is_name_part`` only."""
+    if not UPPER_START.search(text):
+        return []
+    first = {(s.start, s.end) for s in capital_name_sites(text, known, None, UPPER_START)}
+    return [s for s in capital_name_sites(text, known, is_name_part, UPPER_START) if (s.start, s.end) not in first]
+
+
 def lower_name_sites(text: str, known: dict[str, set[str]], is_name_part=None) -> list[Site]:
     """Sites of personal names in lower case; ``is_name_part(kind, word)`` says which words are worth a look."""
     likely = is_name_part or (lambda kind, word: word in known["given" if kind == "g" else "family"])
@@ -413,11 +426,11 @@ def lower_name_sites(text: str, known: dict[str, set[str]], is_name_part=None) -
 
 
 def lower_words(text: str) -> set[str]:
-    """Every word that ``lower_name_sites`` may ask for and that can be a part of a name, in lower case.
+    """Every word that ``lower_name_sites`` or ``upper_name_sites`` may ask for and that can be a part of a name, in lower case.
 
     Where a sign follows a word, the patterns give up marks at its end.
     """
-    words = set(LOWER_RUN.findall(text))  # more than are asked for: a run can have digits
+    words = {*LOWER_RUN.findall(text), *UPPER_RUN.findall(text)}  # more than are asked for: a run can have digits
     for word in [w for w in words if not w.isalpha()]:
         words.add(word[:-1])
         if shorter := LOWER_SHORTER.match(word):

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from folioscope.session import cut_lineage
 
 from .pii_patterns import (
-    KINDS, Site, address_sites, capital_name_sites, email_sites, lower_name_sites, lower_words, number_sites, plain, term_key,
+    KINDS, Site, address_sites, capital_name_sites, email_sites, lower_name_sites, lower_words, number_sites, plain,
+    term_key, upper_name_sites,
 )
 
 #: Characters of the texts of a block, which a task holds at a time with their sites; a longer text is a block of its own.
@@ -109,7 +110,6 @@ def decide(sites: list[Site], model: Disclosure) -> list[tuple[float, str, Site]
     likely = []
     for site in sites:
         kind, bits = max(model.score(site).items(), key=lambda x: x[1])
-        bits = max(bits, 1.0) if kind in site.seeds and site.group in ("email", "address") else bits
         if bits > THRESHOLD[kind]:
             likely.append((kind in ("email", "address"), bits, site.end - site.start, kind, site))
     likely.sort(key=lambda x: (-x[0], -x[1], -x[2], x[4].start))
@@ -267,7 +267,7 @@ def _final_sites(documents: DataFrame, names: DataFrame, rounds: int) -> tuple[D
         final = []
         for text, firm, row in zip(rows["text"], rows["firm"], rows["sites"], strict=True):
             flat, places = plain(text)
-            found = [*_unpacked(row[:firm]), *lower_name_sites(flat, known, knows)]
+            found = [*_unpacked(row[:firm]), *upper_name_sites(flat, known, knows), *lower_name_sites(flat, known, knows)]
             spans = [(s.start, s.end) if places is None else (places[s.start], places[s.end - 1] + 1) for s in found]
             final.append([_packed(s) | {"at": at, "to": to} for s, (at, to) in zip(found, spans, strict=True)])
         return rows[["block", "doc_id", "text"]].assign(sites=final)

@@ -7,9 +7,9 @@ every position of every text is counted for them.  Longer contexts are mixed wit
 seen, and a text's own end is left out of the counts it is held against.
 
 The odds that a text was cut compare going on with ending, times the hazard of a cut at its length: one rate per writer
-(a source and what it puts after a text) for cuts anywhere (a transfer that broke off), and the excess of texts at a length over the lengths around it (a field
+(a source, the language a text is judged to have, and what is put after a text) for cuts anywhere (a transfer that broke off), and the excess of texts at a length over the lengths around it (a field
 limit, in characters or bytes).  Both, and the habit of a source to leave out the last stop, are estimated from all
-rows by repeated reweighting.  The threshold on the log-odds is thereby set per source.
+rows by repeated reweighting.  The threshold on the log-odds is thereby set per source and language.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ BACKOFF = 2.0
 STRAY_ENDS = 1e-3
 #: Texts up to this length are held against whole short texts by their shape, too.
 SHORT = 32
-#: Bits of the filter of final contexts; bounds what the driver and each task hold (1 MB), whatever the rows.
-FILTER_BITS = 23
+#: Slots of the filter per final context, and the least and most bits of its slots' number: the driver and each task hold
+#: 1 to 32 MB.  With more than 33 million contexts more of the corpus is counted than is needed; the counts stay exact.
+FILTER_SLOTS = 8
+FILTER_BITS, MOST_FILTER_BITS = 23, 28
 #: Contexts a task counts before it emits them; bounds its memory.
 FLUSH = 2_000_000
 START = 2
@@ -44,6 +46,14 @@ MARKERS = regex.compile(
     regex.IGNORECASE,
 )
 MIX = np.random.default_rng(11).integers(1, 2**63, ORDERS[-1], dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+# Frequent words by which a text's language is judged.
+FREQUENT = {
+    "en": "the and of to in is that for with are this you not be have it on as your can".split(),
+    "de": "der die das und ist nicht mit den von zu ein eine für auf wird im sich auch werden sie".split(),
+    "fr": "le la les des et est une dans pour que qui pas sur vous avec sont au ce du ne".split(),
+    "es": "el los las que de una por para con es se del no su al lo como más están pero".split(),
+}
+WORD = regex.compile(r"\p{L}+")
 LOWER, UPPER, DIGIT, SPACE, FINAL, OTHER = 1, 2, 3, 4, 5, 6
 END, BREAK, STOP, GO = range(4)
 
@@ -80,6 +90,20 @@ def _parts(text: str) -> tuple[str, str]:
     return text.rstrip() or text, ""
 
 
+def language(text: str, default: str = "en") -> str:
+    """The language most of whose frequent words stand in the text; the default where two or none do."""
+    words = WORD.findall(text.lower())
+    counts = {name: sum(w in known for w in words) for name, known in _frequent().items()}
+    best = max(counts.values())
+    first = [name for name, n in counts.items() if n == best]
+    return first[0] if best and len(first) == 1 else default
+
+
+@lru_cache(1)
+def _frequent() -> dict[str, frozenset[str]]:
+    return {name: frozenset(words) for name, words in FREQUENT.items()}
+
+
 def _hash(values: np.ndarray) -> np.ndarray:
     values = values ^ (values >> np.uint64(31))
     values = values * np.uint64(0x9E3779B97F4A7C15)
@@ -161,7 +185,7 @@ def _final_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             {
                 "id": batch["id"],
                 "source": batch["source"],
-                "writer": [f"{s} {m[:12]}" for s, m in zip(batch["source"], marks, strict=True)],
+                "writer": [f"{s} {language(t)} {m[:12]}" for s, t, m in zip(batch["source"], texts, marks, strict=True)],
                 "characters": [len(t) for t in texts],
                 "bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts],
                 "contexts": contexts,
@@ -170,8 +194,10 @@ def _final_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _counter(bits: np.ndarray):
+    shift = np.uint64(64 - 6 - (len(bits) - 1).bit_length())
+
     def wanted(keys: np.ndarray) -> np.ndarray:
-        slot = keys >> np.uint64(64 - FILTER_BITS)
+        slot = keys >> shift
         return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,15 +240,17 @@ def _counter(bits: np.ndarray):
 
 
 def _filter_of(finals: DataFrame) -> np.ndarray:
-    """The bits of all final contexts; at most 2 ** (FILTER_BITS - 6) rows reach the driver."""
-    slot = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+    """The bits of all final contexts, in 64-bit words, of which at most 2 ** (MOST_FILTER_BITS - 6) reach the driver."""
+    contexts = finals.select(F.explode("contexts").alias("key"))
+    n = contexts.agg(F.approx_count_distinct("key")).first()[0]
+    size = min(MOST_FILTER_BITS, max(FILTER_BITS, (FILTER_SLOTS * n).bit_length()))
+    slot = F.shiftrightunsigned("key", 64 - size)
     rows = (
-        finals.select(F.explode("contexts").alias("key"))
-        .groupBy(F.shiftright(slot, 6).alias("word"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - FILTER_BITS}) & 63 as int))")).alias("bits"))
+        contexts.groupBy(F.shiftright(slot, 6).alias("word"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - size}) & 63 as int))")).alias("bits"))
         .toPandas()
     )
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bits = np.zeros(1 << (size - 6), np.uint64)
     bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return bits
 
@@ -230,7 +258,18 @@ def _filter_of(finals: DataFrame) -> np.ndarray:
 def _probabilities(finals: DataFrame, counts: DataFrame) -> DataFrame:
     """Per distinct tail: the chance of each outcome there, its own end left out, longer contexts over shorter ones."""
     tails = finals.select("contexts").distinct()
-    each = tails.select("contexts", F.posexplode("contexts").alias("order", "key")).join(counts, "key", "left")
+    each = tails.select("contexts", F.posexplode("contexts").alias("order", "key"))
+    # The last character alone is shared by most tails, and so would be a hot key; there are as many of these contexts as
+    # characters at most, so they are sent to all tasks.  Short texts have their shape there, and no key (0) in the next
+    # places.  Of the other contexts AQE splits those that are hot.
+    is_character, is_none = (F.col("order") == 0) & (F.get("contexts", F.lit(1)) != 0), F.col("key") == 0
+    few = counts.join(each.where(is_character).select("key").distinct(), "key", "left_semi")
+    empty = [F.lit(None).cast("long").alias(c) for c in ("ends", "breaks", "stops", "goes")]
+    each = (
+        each.where(is_character).join(F.broadcast(few), "key", "left")
+        .unionByName(each.where(~is_character & ~is_none).join(counts, "key", "left"))
+        .unionByName(each.where(is_none).select("*", *empty))
+    )
     seen = each.groupBy("contexts").agg(
         F.sort_array(
             F.collect_list(
@@ -293,7 +332,7 @@ def cut_texts(
         )
     )
     bits = _filter_of(finals)
-    counts = (
+    counts = cut_lineage(
         rows.select("text")
         .mapInPandas(_counter(bits), "key long, ends long, breaks long, stops long, goes long")
         .groupBy("key")

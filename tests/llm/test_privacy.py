@@ -62,6 +62,15 @@ def test_no_term_is_dropped_and_blocks_change_nothing(spark, monkeypatch):
     assert rows(privacy.find_entities(df, known(spark)).select("doc_id", "pii_type", "start_at")) == whole
 
 
+def test_names_in_capitals_off_the_list_are_found_by_what_other_texts_tell(spark):
+    data, _ = corpus()
+    mixed = [(1000 + i, f"Emergency contact is Quilla Zembrano (+1 415 555 01{i:02}). Thanks.") for i in range(8)]
+    capitals = [(2000, "EMERGENCY CONTACT IS QUILLA ZEMBRANO (+1 415 555 0199). THANKS."), (2001, "THE OLD TABLE IS HERE.")]
+    found = privacy.find_entities(spark.createDataFrame(data + mixed + capitals, DOC), known(spark))
+    got = {(r.doc_id, r.pii_type, r.start_at) for r in found.where("doc_id >= 2000").collect()}
+    assert (2000, "name", 21) in got and not any(d == 2001 for d, _, _ in got)
+
+
 def test_lower_words_hold_every_word_that_is_asked_for():
     text = "by quilla zembrano-, smith-@x o’neil--2 d'arc'-/ and de la mcDonald, ana-"
     asked = set()
