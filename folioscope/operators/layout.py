@@ -43,15 +43,22 @@ def lines_from_items(items: DataFrame) -> DataFrame:
         "doc_id", "page", F.struct((-F.col("y")).alias("up"), "x", "item_ord", "y", "str", "size", "width").alias("item")
     )
     pages = shown.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("anchor"), F.array().cast("array<int>").alias("of"))
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("starts")
+    )
 
     def cluster(s: Column, item: Column) -> Column:
-        same = (s["line"] >= 0) & (F.abs(s["anchor"] - item["y"]) <= SAME_LINE)
-        line = (s["line"] + F.when(same, 0).otherwise(1)).cast("int")
-        anchor = F.when(same, s["anchor"]).otherwise(item["y"])
-        return F.struct(line.alias("line"), anchor.alias("anchor"), F.concat(s["of"], F.array(line)).alias("of"))
-
-    numbered = pages.select("doc_id", "page", F.inline(F.arrays_zip("items", F.aggregate("items", start, cluster)["of"].alias("line"))))
+        # Only the start of a line makes the state grow.
+        at = (s["at"] + 1).cast("int").alias("at")
+        opened = F.struct(at, item["y"].alias("anchor"), F.concat(s["starts"], F.array(s["at"])).alias("starts"))
+        same = F.abs(s["anchor"] - item["y"]) <= SAME_LINE
+        return F.when(same, F.struct(at, s["anchor"].alias("anchor"), s["starts"].alias("starts"))).otherwise(opened)
+
+    numbered = (
+        pages.withColumn("starts", F.aggregate("items", start, cluster)["starts"])
+        .select("doc_id", "page", "starts", F.posexplode("items").alias("at", "items"))
+        .select("doc_id", "page", (F.size(F.filter("starts", lambda x: x <= F.col("at"))) - 1).alias("line"), "items")
+    )
     lines = numbered.groupBy("doc_id", "page", F.col("line").alias("line_ord")).agg(
         F.min_by("items", F.struct("items.up", "items.x", "items.item_ord")).alias("top"),
         F.sort_array(F.collect_list(F.struct("items.x", "items.up", "items.item_ord", "items.str", "items.width"))).alias("run"),
@@ -263,19 +270,22 @@ def laid_out(blocks: DataFrame) -> DataFrame:
     """Blocks as positioned text items, to run the layout operators over the given tables.
 
     Every paragraph is a document page of its own; its words stand four to a line, each 5.5 points a character wide.
+    A line sinks a little from word to word, every other line so much that its fourth word is no more on it.
     """
     held = blocks.where("section_id is not null and kind = 'paragraph' and text is not null").dropDuplicates(["section_id", "block_ord"])
     words = F.posexplode(F.filter(F.split(T.collapse(F.col("text")), " "), lambda w: w != "")).alias("item_ord", "str")
     each = held.select(F.col("section_id").alias("doc_id"), F.col("block_ord").alias("page"), "list_level", words)
     column = F.pmod("item_ord", F.lit(4))
     left = BODY_LEFT + LIST_INDENT * F.coalesce("list_level", F.lit(0))
+    line = F.floor(F.col("item_ord") / 4)
+    sunk = column * F.when(line % 2 == 1, 1.1).otherwise(0.9)
     return each.select(
         "doc_id",
         "page",
         "item_ord",
         "str",
         (left + column * 120).cast("double").alias("x"),
-        (700 - 16 * F.floor(F.col("item_ord") / 4)).cast("double").alias("y"),
+        ((700 - 16 * line).cast("double") - sunk).alias("y"),
         F.lit(11.0).alias("size"),
         F.least(F.length("str") * 5.5, F.lit(115.0)).cast("double").alias("width"),
     )

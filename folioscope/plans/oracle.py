@@ -213,10 +213,15 @@ _LINES = f"""
         FROM ({_BLOCKS}) WHERE kind = 'paragraph' AND text IS NOT NULL
     ),
     i AS (SELECT doc_id, page, lv, unnest(words) AS str, unnest(range(len(words))) AS n FROM b),
-    x AS (SELECT *, n // 4 AS line_ord, 50 + 30 * lv + (n % 4) * 120 AS x, least(length(str) * 5.5, 115.0) AS width FROM i),
+    x AS (
+        SELECT *, n // 4 + n // 8 + CASE WHEN (n // 4) % 2 = 1 AND n % 4 = 3 THEN 1 ELSE 0 END AS line_ord, 50 + 30 * lv + (n % 4) * 120 AS x,
+            CAST(700 - 16 * (n // 4) AS DOUBLE) - (n % 4) * CAST(CASE WHEN (n // 4) % 2 = 1 THEN 1.1 ELSE 0.9 END AS DOUBLE) AS y,
+            least(length(str) * 5.5, 115.0) AS width
+        FROM i
+    ),
     g AS (SELECT *, x - lag(x + width) OVER (PARTITION BY doc_id, page, line_ord ORDER BY x) AS gap FROM x),
     lines AS (
-        SELECT doc_id, page, CAST(line_ord AS INTEGER) AS line_ord, CAST(700 - 16 * line_ord AS DOUBLE) AS y,
+        SELECT doc_id, page, CAST(line_ord AS INTEGER) AS line_ord, max(y) AS y,
             CAST(min(x) AS DOUBLE) AS x, CAST(max(x + width) AS DOUBLE) AS "right", CAST(11 AS DOUBLE) AS size,
             {_COLLAPSE(_NFKC("string_agg(CASE WHEN gap > 12 THEN ' | ' WHEN gap > 1 THEN ' ' ELSE '' END || str, '' ORDER BY x)"))} AS text
         FROM g GROUP BY doc_id, page, line_ord
