@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.session import cut_lineage
 from folioscope.sources.tables import table
 
 from . import mixing, neighbours, packing, privacy, splitting, terms, tokens, truncation
@@ -73,6 +74,16 @@ def p3_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return _pieces(spark, directory)
 
 
+def p3_rejoined(spark: SparkSession, directory: str) -> DataFrame:
+    """Per cut text a checksum of its pieces joined without their overlaps, and whether all of them are within the limit."""
+    keys = ["item_kind", "item_id", "item_ord"]
+    own = F.struct("piece_ord", F.expr("substring(piece, overlap + 1)").alias("own"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(own)), lambda x: x["own"]), "")
+    return _pieces(spark, directory).groupBy(*keys).agg(
+        F.sha2(whole, 256).alias("sha256"), (F.max(F.length("piece")) <= 1000).alias("within_limit")
+    )
+
+
 def p4_nearest(spark: SparkSession, directory: str) -> DataFrame:
     return neighbours.nearest(table(spark, directory, "vectors"))
 
@@ -100,6 +111,32 @@ def _mixture(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]
     return mixing.mixture(sized, table(spark, directory, "mix_targets"))
 
 
+def p6_placed(spark: SparkSession, directory: str) -> DataFrame:
+    """Per window: the documents placed, those in parts though no longer than a container, and containers over capacity."""
+    assigned = cut_lineage(p6_containers(spark, directory))
+    per = assigned.groupBy("window_id", "capacity", "doc_id").agg(F.count("*").alias("parts"), F.sum("tokens").alias("tokens"))
+    torn = (F.col("parts") > 1) & (F.col("tokens") <= F.col("capacity"))
+    placed = per.groupBy("window_id", "capacity").agg(F.count("*").alias("documents"), F.count_if(torn).alias("torn"))
+    full = assigned.groupBy("window_id", "container").agg(F.sum("tokens").alias("tokens"), F.max("capacity").alias("capacity"))
+    over = full.groupBy("window_id").agg(F.count_if(F.col("tokens") > F.col("capacity")).alias("overfull"))
+    return placed.join(over, "window_id")
+
+
+def p7_kept(spark: SparkSession, directory: str) -> DataFrame:
+    """Per target source: the texts used more than max_repeats times, and the texts drawn under two doc_ids."""
+    drawn, plan = _mixture(spark, directory)
+    drawn = cut_lineage(drawn)
+    keys = table(spark, directory, "documents").select("doc_id", F.sha2("text", 256).alias("text_key")).dropDuplicates(["doc_id"])
+    over = drawn.join(plan.select("source", "max_repeats"), "source").where(F.col("copies") > F.col("max_repeats")).groupBy("source").count()
+    twice = drawn.join(keys, "doc_id").groupBy("source", "text_key").count().where("count > 1").groupBy("source").count()
+    return (
+        plan.select("source", "max_repeats")
+        .join(over.select("source", F.col("count").alias("over_repeated")), "source", "left")
+        .join(twice.select("source", F.col("count").alias("repeated_texts")), "source", "left")
+        .fillna(0, ["over_repeated", "repeated_texts"])
+    )
+
+
 def p7_mixture(spark: SparkSession, directory: str) -> DataFrame:
     """One row per copy, so that the result is the mixture itself."""
     drawn, _ = _mixture(spark, directory)
@@ -123,14 +160,38 @@ def p8_sanitised(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_term_frequencies, p2_found, p2_cut_report, p3_found, p3_pieces, p4_found, p4_nearest,
-        p6_containers, p6_packing_report, p7_mixture, p7_share_report, p8_found, p8_sanitised,
+        p1_found, p1_term_frequencies, p2_found, p2_cut_report, p3_found, p3_pieces, p3_rejoined, p4_found, p4_nearest,
+        p6_containers, p6_packing_report, p6_placed, p7_mixture, p7_share_report, p7_kept, p8_found, p8_sanitised,
     )
 }
 
+# DuckDB knows NFC only: wide letters and ligatures, which the given tables have, are replaced before it.
+WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))).replace("'", "''"), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+PLAIN = f"translate(body, '{WIDE[0]}', '{WIDE[1]}')"
+for _ligature in ("ﬀ ff", "ﬁ fi", "ﬂ fl", "ﬃ ffi", "ﬄ ffl"):
+    PLAIN = "replace({}, '{}', '{}')".format(PLAIN, *_ligature.split())
+TERMS = f"""
+    WITH p AS (SELECT chunk_id, any_value(body) AS body FROM keyword_index WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
+    t AS (SELECT chunk_id, unnest(regexp_extract_all(lower(regexp_replace(nfc_normalize({PLAIN}), '\\p{{Cf}}', '', 'g')), '[\\p{{L}}\\p{{N}}]+')) AS term FROM p),
+    marked AS (
+        SELECT term, count(*) AS occurrences, count(DISTINCT chunk_id) AS passages, CASE
+            WHEN count(DISTINCT chunk_id) <= 2 THEN 'rare' WHEN count(DISTINCT chunk_id) > 0.2 * (SELECT count(*) FROM p) THEN 'common' END AS mark
+        FROM t GROUP BY term
+    )
+"""
 WHITE = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 
 SQL: dict[str, str] = {
+    "p1_found": f"{TERMS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
+    "p1_term_frequencies": f"{TERMS} SELECT term, occurrences, passages, mark FROM marked",
+    "p6_placed": """
+        SELECT w.window_id, w.capacity_tokens AS capacity, d.documents, CAST(0 AS BIGINT) AS torn, CAST(0 AS BIGINT) AS overfull
+        FROM (SELECT DISTINCT window_id, CAST(capacity_tokens AS BIGINT) AS capacity_tokens FROM context_windows) w,
+            (SELECT count(DISTINCT doc_id) AS documents FROM documents) d
+    """,
+    "p7_kept": """
+        SELECT lower(trim(source)) AS source, max_repeats, CAST(0 AS BIGINT) AS over_repeated, CAST(0 AS BIGINT) AS repeated_texts FROM mix_targets
+    """,
     "p3_found": f"""
         WITH items AS (
             SELECT DISTINCT 'block' AS item_kind, section_id AS item_id, block_ord AS item_ord, text FROM blocks
@@ -142,6 +203,13 @@ SQL: dict[str, str] = {
                 AS unbroken
         FROM items WHERE length(text) > 1000
     """,
+    "p3_rejoined": """
+        SELECT DISTINCT 'block' AS item_kind, section_id AS item_id, CAST(block_ord AS INTEGER) AS item_ord, sha256(text) AS sha256, TRUE AS within_limit
+        FROM blocks WHERE length(text) > 1000
+        UNION
+        SELECT DISTINCT 'page', chunk_id, CAST(p.page AS INTEGER), sha256(p.text), TRUE
+        FROM (SELECT chunk_id, unnest(pages) AS p FROM chunks) WHERE length(p.text) > 1000
+    """,
     "p4_found": """
         WITH usable AS (
             SELECT chunk_ord, any_value(CAST(embedding AS DOUBLE[])) AS e FROM vectors
