@@ -1,4 +1,5 @@
 import math
+import random
 
 from folioscope.operators import keyword, semantic
 
@@ -88,3 +89,40 @@ def test_added_passages_join_the_first_ones(spark):
     assert sorted(tuple(r)[:3] for r in closest.collect()) == [(0, 1, "D"), (0, 2, "A"), (0, 3, "B"), (50, 1, "B")]
     cited = spark.createDataFrame([(7, 0, "c"), (7, 0, "a"), (8, 0, "a"), (9, 50, "d")], "row_id int, query int, chunk_id string")
     assert [r[0] for r in semantic.cites_added(cited, added).collect()] == [7]
+
+
+def test_blocks_of_vectors_and_queries_change_nothing(spark, monkeypatch):
+    rng = random.Random(2)
+    data = [(i, [rng.choice([-1.0, 0.5, 1.0, 2.0]) for _ in range(64)]) for i in range(90)]
+    v = spark.createDataFrame(data, "chunk_ord int, embedding array<float>")
+    asked = v.where("chunk_ord % 4 = 0")
+    whole = rows(semantic.semantic_topk(v, asked, 5))
+    units = {i: [x / math.sqrt(sum(y * y for y in e)) for x in e] for i, e in data}
+    similar = lambda a, b: round(sum(x * y for x, y in zip(units[a], units[b], strict=True)), 6)
+    for q in range(0, 90, 4):
+        best = sorted(((-similar(q, i), i) for i in units))[:5]
+        assert [(r[1], r[2]) for r in sorted(whole) if r[0] == q] == [(n + 1, i) for n, (_, i) in enumerate(best)]
+    monkeypatch.setattr(semantic, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(semantic, "VECTOR_BLOCK", 16)
+    monkeypatch.setattr(semantic, "QUERY_BLOCK", 7)
+    assert rows(semantic.semantic_topk(v, asked, 5)) == whole
+    assert rows(semantic.semantic_topk(v.limit(0), asked, 5)) == [] and rows(semantic.semantic_topk(v, v.limit(0), 5)) == []
+    pairs = spark.createDataFrame([(0, 4), (8, 1000)], "query_ord int, chunk_ord int")
+    got = {r.chunk_ord: r.similarity for r in semantic.pair_similarity(pairs, v).collect()}
+    assert abs(got[4] - similar(0, 4)) < 2e-6 and got[1000] is None
+
+
+def test_best_passages_in_blocks_equal_the_join(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    index = spark.createDataFrame([(f"c{i:02}", rng.choice(words), " ".join(rng.choices(words, k=12))) for i in range(60)] + [("c00", "again", "x")] * 0, INDEX)
+    asked = spark.createDataFrame([(f"q{i:02}", " ".join(rng.choices([*words, "unknown"], k=5))) for i in range(20)] + [("none", "unknown"), ("null", None), (None, "w1")], "id string, question string")
+    held = keyword.postings(index)
+    want = rows(keyword.best_passages(keyword.bm25_scores(index, held, keyword.question_terms(asked)), 4).select("id", "rank", "chunk_id"))
+    got = lambda: rows(keyword.bm25_best(index, asked, 4).select("id", "rank", "chunk_id"))
+    assert got() == want
+    monkeypatch.setattr(keyword, "PASSAGE_BLOCK", 16)
+    monkeypatch.setattr(keyword, "QUESTION_BLOCK", 6)
+    monkeypatch.setattr(keyword, "AT_ONCE", 5)
+    assert got() == want
+    assert rows(keyword.bm25_best(index.limit(0), asked, 4)) == [] and rows(keyword.bm25_best(index, asked.limit(0), 4)) == []
