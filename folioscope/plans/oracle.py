@@ -530,6 +530,43 @@ SQL: dict[str, str] = {
     "uncited_claims": f"""
         SELECT row_id, part_ord, text FROM ({_PARTS}) WHERE coalesce(len(citations), 0) = 0 AND {_IS_CLAIM("text")}
     """,
+    "passage_remarks": rf"""
+        WITH p AS (
+            SELECT row_id, string_split(regexp_replace('The passages don''t say more. They only mention it. ' || answer || chr(10) || 'These excerpts stop here.',
+                '([.!?][{SPACE}]+|\n+)', '\1' || chr(1), 'g'), chr(1)) AS pieces
+            FROM ({_ANSWERS}) WHERE answer IS NOT NULL
+        ),
+        d AS (
+            SELECT row_id, list_reduce(list_transform(pieces, lambda x: {{'text': x, 'dropped': 0, 'after': FALSE}}), lambda s, x: CASE
+                WHEN regexp_matches({_TRIM("x.text")}, '[.!?]$') AND (
+                    regexp_matches({_TRIM("x.text")}, '(?i)^(?:the|these|those)[{SPACE}]+(?:passages?|excerpts?)(?:[^A-Za-z0-9_]|$)')
+                    OR (s.after AND regexp_matches({_TRIM("x.text")}, '(?i)^(?:they|these|those)(?:[^A-Za-z0-9_]|$)')))
+                THEN {{'text': s.text || regexp_extract(x.text, '^[{SPACE}]*'), 'dropped': s.dropped + 1, 'after': TRUE}}
+                ELSE {{'text': s.text || x.text, 'dropped': s.dropped, 'after': s.after AND {_TRIM("x.text")} = ''}} END,
+                {{'text': '', 'dropped': 0, 'after': FALSE}}) AS s FROM p
+        )
+        SELECT row_id, s.text AS text, s.dropped AS dropped FROM d
+    """,
+    "restatements": rf"""
+        WITH b AS (
+            SELECT row_id, part_ord, text, regexp_replace(text, '[{SPACE}]+$', '') AS body FROM ({_PARTS})
+            WHERE len(citations) > 0 AND NOT regexp_matches(text, '\n[{SPACE}]*$') AND regexp_matches(text, '[.!?][{SPACE}]*$')
+        ),
+        c AS (
+            SELECT *, list_reduce(list_transform(
+                string_split(regexp_replace(left(body, -1), '([.!?][{SPACE}]+|\n+)', '\1' || chr(1), 'g'), chr(1))[1:-2],
+                lambda x: {{'piece': x, 'at': 0, 'start': 0}}), lambda s, x: {{
+                    'piece': '', 'at': s.at + CAST(length(x.piece) AS INTEGER),
+                    'start': CASE WHEN regexp_matches(x.piece, '(?i)(?:^|[^A-Za-z0-9_])(?:e\.g|i\.e|etc|vs|approx|U\.S|U\.K)\.[{SPACE}]+$')
+                        THEN s.start ELSE s.at + CAST(length(x.piece) AS INTEGER) END }},
+                {{'piece': '', 'at': 0, 'start': 0}}).start AS cut
+            FROM b
+        ),
+        l AS (
+            SELECT *, cut + CAST(length(regexp_extract(substr(body, cut + 1), '^[{SPACE}]*(?:[-*•][ \t]+|\d+[.)][ \t]+)?')) AS INTEGER) AS start FROM c
+        )
+        SELECT row_id, part_ord, start, left(text, start) AS kept FROM l WHERE len(list_distinct({_WORDS("substr(body, start + 1)")})) >= 4
+    """,
     "answer_texts": rf"""
         SELECT row_id,
             array_to_string(list_transform(parts, lambda p: coalesce(p.text, '') || array_to_string(list_transform(coalesce(p.citations, []), lambda n: '[' || n || ']'), '')), '') AS text,
