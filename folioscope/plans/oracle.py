@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from folioscope.functions.text import SPACE
-from folioscope.functions.words import BM25, STOP_WORDS, VAGUE_WORDS
+from folioscope.functions.words import BM25, DOLLARS_PER_MILLION, STOP_WORDS, VAGUE_WORDS
 
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _TRIM = lambda x: f"regexp_replace({x}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
@@ -322,9 +322,140 @@ _CHUNKED = rf"""
         JOIN (SELECT DISTINCT section_id, title, path FROM sections WHERE section_id IS NOT NULL AND path IS NOT NULL) n USING (section_id)
     )
 """
+# Nodes of the logged records in document order, JSON text in strings opened, too; labels follow from order and depth.
+_NODES = r"""
+    WITH RECURSIVE l AS (
+        SELECT line_id, any_value(trace_id) AS trace_id, regexp_extract(any_value(record), '(?s)^[\s\x{FEFF}]*(?:\[[A-Za-z_-]+\][\s\x{FEFF}]*)?(\{.*)$', 1) AS r
+        FROM ask_log WHERE line_id IS NOT NULL AND trace_id IS NOT NULL AND record IS NOT NULL GROUP BY line_id
+    ),
+    t AS (
+        SELECT line_id, trace_id, j.id AS o, j.parent AS po, j.key, j.type, j.value, j.value ->> '$' AS s
+        FROM (SELECT * FROM l WHERE r <> '' AND json_valid(r)) v, json_tree(v.r) j
+    ),
+    x AS (SELECT *, type = 'VARCHAR' AND regexp_matches(s, '(?s)^[\[{].*[\]}]$') AND json_valid(s) AS inner_json FROM t),
+    a AS (
+        SELECT line_id, trace_id, CAST(o AS BIGINT) AS o, CAST(0 AS BIGINT) AS n, CAST(po AS BIGINT) AS po, CAST(0 AS BIGINT) AS pn, CAST(key AS VARCHAR) AS key, type, s
+        FROM x WHERE NOT inner_json
+        UNION ALL
+        SELECT x.line_id, x.trace_id, x.o, j.id, CASE WHEN j.parent IS NULL THEN x.po ELSE x.o END, coalesce(j.parent, 0),
+            CASE WHEN j.parent IS NULL THEN CAST(x.key AS VARCHAR) ELSE CAST(j.key AS VARCHAR) END, j.type, j.value ->> '$'
+        FROM x, json_tree(CASE WHEN x.inner_json THEN x.s ELSE '{}' END) j WHERE x.inner_json
+    ),
+    w AS (
+        SELECT line_id, trace_id, o, n, po, pn, 'record' AS name, CAST(NULL AS INTEGER) AS position, 0 AS depth, type, s FROM a WHERE po IS NULL
+        UNION ALL
+        SELECT c.line_id, c.trace_id, c.o, c.n, c.po, c.pn, CASE WHEN w.type = 'ARRAY' THEN w.name ELSE c.key END,
+            CASE WHEN w.type = 'ARRAY' THEN CAST(c.key AS INTEGER) END, w.depth + 1, c.type, c.s
+        FROM w JOIN a c ON c.line_id = w.line_id AND c.po = w.o AND c.pn = w.n
+    ),
+    i AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY o, n) - 1 AS i, count(*) OVER (PARTITION BY line_id) AS total FROM w),
+    e AS (
+        SELECT b.line_id, b.i, coalesce(min(c.i), b.total) - b.i AS size
+        FROM i b LEFT JOIN i c ON c.line_id = b.line_id AND c.i > b.i AND c.depth <= b.depth GROUP BY b.line_id, b.i, b.total
+    ),
+    nodes AS (
+        SELECT i.line_id, i.trace_id, CAST(2 * i.i - i.depth AS INTEGER) AS pre, CAST(2 * i.i - i.depth + 2 * size - 1 AS INTEGER) AS post,
+            CAST(coalesce(2 * p.i - p.depth, -1) AS INTEGER) AS parent, i.depth, i.name, i.position,
+            CASE i.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind,
+            CASE WHEN i.type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN i.s END AS value
+        FROM i JOIN e USING (line_id, i) LEFT JOIN i p ON p.line_id = i.line_id AND p.o = i.po AND p.n = i.pn
+    )
+"""
+_WITHIN = lambda n, name, kinds: (
+    f"EXISTS (SELECT 1 FROM nodes c WHERE c.line_id = {n}.line_id AND c.name = '{name}' AND c.kind IN {kinds} AND c.pre < {n}.pre AND {n}.post < c.post)"
+)
+_STEPS = "('rewrite', 'search', 'answer', 'research', 'reanswer', 'total')"
+_CHILDREN = f"""
+    {_NODES},
+    lists AS (SELECT line_id, pre, name FROM nodes n WHERE name IN ('queries', 'rounds') AND kind = 'array' AND {_WITHIN("n", "research", "('object')")}),
+    query_rows AS (
+        SELECT n.trace_id, row_number() OVER (PARTITION BY n.line_id ORDER BY n.pre) - 1 AS ord, coalesce(t.value, n.value) AS item
+        FROM nodes n JOIN lists l ON l.line_id = n.line_id AND l.pre = n.parent
+        LEFT JOIN nodes t ON t.line_id = n.line_id AND t.parent = n.pre AND t.position IS NULL AND t.kind IN ('string', 'number') AND t.name IN ('text', 'query')
+        WHERE n.position IS NOT NULL AND (n.kind = 'object' OR l.name = 'queries')
+    ),
+    added_in AS (SELECT line_id, pre, post FROM nodes n WHERE name = 'added' AND kind IN ('object', 'array') AND {_WITHIN("n", "research", "('object')")}),
+    added_rows AS (
+        SELECT n.trace_id, row_number() OVER (PARTITION BY n.line_id ORDER BY n.pre) - 1 AS ord, coalesce(t.value, n.value) AS item
+        FROM nodes n LEFT JOIN nodes t ON t.line_id = n.line_id AND t.parent = n.pre AND t.position IS NULL
+            AND t.kind IN ('string', 'number') AND t.name IN ('id', 'chunk_id', 'chunk')
+        WHERE n.position IS NOT NULL AND n.kind IN ('string', 'object', 'null')
+            AND EXISTS (SELECT 1 FROM added_in c WHERE c.line_id = n.line_id AND c.pre < n.pre AND n.post < c.post)
+    ),
+    times AS (SELECT * FROM nodes n WHERE kind IN ('string', 'number') AND {_WITHIN("n", "ms", "('object')")}),
+    step_rows AS (
+        SELECT trace_id, name AS item, value FROM times WHERE name IN {_STEPS}
+        UNION ALL
+        SELECT t.trace_id, o.name, t.value FROM times t JOIN nodes o ON o.line_id = t.line_id AND o.pre = t.parent WHERE t.name = 'value' AND o.name IN {_STEPS}
+        UNION ALL
+        SELECT t.trace_id, o.value, t.value FROM times t JOIN times o ON o.line_id = t.line_id AND o.parent = t.parent
+        WHERE t.name IN ('took', 'ms', 'value') AND o.name = 'name' AND o.value IN {_STEPS}
+    ),
+    step_times AS (
+        SELECT trace_id, CAST(0 AS INTEGER) AS ord, item, max(TRY_CAST(regexp_extract(value, '^\\s*(-?\\d+(?:\\.\\d+)?)\\s*(?:ms)?\\s*$', 1) AS DOUBLE)) AS ms
+        FROM step_rows WHERE length(trim(value)) > 0 GROUP BY trace_id, item
+    ),
+    call_spans AS (
+        SELECT line_id, pre, post, row_number() OVER (PARTITION BY line_id ORDER BY pre) - 1 AS ord FROM nodes n
+        WHERE position IS NOT NULL AND kind = 'object' AND {_WITHIN("n", "usage", "('object', 'array')")}
+    ),
+    calls AS (
+        SELECT n.trace_id, CAST(coalesce(c.ord, 0) AS INTEGER) AS ord, n.name AS item, max(CAST(n.value AS BIGINT)) AS tokens
+        FROM nodes n LEFT JOIN call_spans c ON c.line_id = n.line_id
+        WHERE n.name IN ('input', 'output') AND n.kind IN ('string', 'number') AND n.position IS NULL AND length(trim(n.value)) > 0
+            AND {_WITHIN("n", "usage", "('object', 'array')")} AND (c.pre IS NULL OR (c.pre < n.pre AND n.post < c.post))
+        GROUP BY ALL
+    )
+"""
+_FIELDS = "question searchedFor status notCoveredReason errorCode citations droppedCitations uncitedChars model".split()
 _OPENING = rf"regexp_extract(first.text, '(?s)^(.*?(?:[.!?:](?:[{SPACE}]|$)|\n))', 1)"
 
 SQL: dict[str, str] = {
+    "p5_nodes": f"{_NODES} SELECT * FROM nodes",
+    "p5_found": f"""
+        {_CHILDREN}
+        SELECT DISTINCT trace_id, 'research.queries' AS child, CAST(ord AS INTEGER) AS ord, item FROM query_rows WHERE length(trim(item)) > 0
+        UNION ALL SELECT DISTINCT trace_id, 'research.added', CAST(ord AS INTEGER), item FROM added_rows WHERE length(trim(item)) > 0
+        UNION ALL SELECT trace_id, 'ms', ord, item FROM step_times
+        UNION ALL SELECT trace_id, 'usage', ord, item FROM calls
+    """,
+    "p5_step_times": f"{_CHILDREN} SELECT trace_id, ord, item, ms FROM step_times",
+    "p5_calls": f"{_CHILDREN} SELECT trace_id, ord, item, tokens FROM calls",
+    "p5_traces": f"""
+        {_NODES},
+        owners AS (SELECT DISTINCT line_id, parent FROM nodes WHERE name IN ('ms', 'usage', 'question') AND depth > 0 AND parent >= 0),
+        fields AS (
+            SELECT trace_id, {", ".join(f'max(CASE WHEN name = {chr(39)}{f}{chr(39)} THEN value END) AS "{f}"' for f in _FIELDS)}
+            FROM nodes SEMI JOIN owners USING (line_id, parent) WHERE kind IN ('string', 'number') AND position IS NULL GROUP BY trace_id
+        )
+        SELECT r.*, fields.* EXCLUDE (trace_id)
+        FROM (SELECT trace_id, min(line_id) AS first_line, count(DISTINCT line_id) AS lines FROM nodes WHERE depth = 0 GROUP BY trace_id) r
+        LEFT JOIN fields USING (trace_id)
+    """,
+    "trace_costs": f"""
+        {_CHILDREN}
+        SELECT trace_id, CAST(sum(tokens) AS BIGINT) AS tokens,
+            round(sum(tokens * CASE item WHEN 'input' THEN {DOLLARS_PER_MILLION["input"]} ELSE {DOLLARS_PER_MILLION["output"]} END / 1e6), 6) AS dollars
+        FROM calls GROUP BY trace_id
+    """,
+    "research_checks": f"""
+        {_NODES},
+        held AS (
+            SELECT n.trace_id, n.name, coalesce(t.value, n.value) AS item FROM nodes n
+            JOIN nodes r ON r.line_id = n.line_id AND r.pre = n.parent AND r.name = 'research' AND r.kind = 'object'
+            LEFT JOIN nodes t ON t.line_id = n.line_id AND t.parent = n.pre AND t.name = 'status' AND t.kind = 'string' WHERE n.name IN ('first', 'outcome')
+        ),
+        research AS (
+            SELECT trace_id, max(CASE WHEN name = 'first' THEN item END) AS first, max(CASE WHEN name = 'outcome' THEN item END) AS outcome FROM held GROUP BY trace_id
+        ),
+        counted AS (
+            SELECT count_if(status = 'not-covered') AS declined, count_if(status = 'not-covered' AND research.outcome <> 'failed') AS again,
+                count_if(first = 'not-covered') AS lost, count_if(first = 'not-covered' AND status = 'answered') AS won
+            FROM ({_ANSWERS}) LEFT JOIN research USING (trace_id)
+        )
+        SELECT CASE WHEN declined = 0 THEN 'n/a' ELSE again || '/' || declined END AS not_covered_searched_again,
+            CASE WHEN lost = 0 THEN 'n/a' ELSE won || '/' || lost END AS not_found_then_answered FROM counted
+    """,
     "grade_answers": f"SELECT row_id, id, outcome, grade FROM ({_GRADED})",
     "outcome_counts": f"""
         SELECT kind, count(*) AS answers, count_if(grade = 'pass') AS passed, count_if(grade = 'review') AS for_review,
