@@ -15,7 +15,7 @@ join on the term, and decides with those alone.  A term that is in most texts is
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -46,6 +46,10 @@ ROUNDS = 3
 THRESHOLD = {"email": 0.0, "phone": -3.5, "id_number": -3.5, "address": -2.0, "name": 0.0}
 #: Most names of the staff list; it is checked before it is sent to the tasks.
 MAX_KNOWN = 1_000_000
+#: Terms that tell a name part and are sent to all tasks; where there are more, each block asks for those of its words.
+MAX_NAME_TERMS = 262_144
+#: Bits from which a word is known as a part of names.
+NAME_BITS = 2.0
 #: Terms a task counts before it emits them.
 FLUSH_TERMS = 1_000_000
 GROUPS = {"email": ("email",), "number": ("phone", "id_number"), "lettered": ("id_number",), "address": ("address",), "name": ("name",)}
@@ -99,7 +103,7 @@ class Disclosure:
     def knows(self, kind: str, word: str) -> bool:
         """Whether a word is known as a given (`g`) or family (`f`) name rather than as another word."""
         found = self.of.get(term_key(f"p.{kind} {word}"))
-        return found is not None and found[1][0] > 2
+        return found is not None and found[1][0] > NAME_BITS
 
 
 def decide(sites: list[Site], model: Disclosure) -> list[tuple[float, str, Site]]:
@@ -262,8 +266,7 @@ def _final_sites(documents: DataFrame, names: DataFrame, rounds: int) -> tuple[D
     for _ in range(rounds):
         model = _learn(sites, model)
 
-    def propose(rows: pd.DataFrame, own: Disclosure) -> pd.DataFrame:
-        knows = cache(own.knows)
+    def propose(rows: pd.DataFrame, knows: Callable[[str, str], bool]) -> pd.DataFrame:
         final = []
         for text, firm, row in zip(rows["text"], rows["firm"], rows["sites"], strict=True):
             flat, places = plain(text)
@@ -273,8 +276,18 @@ def _final_sites(documents: DataFrame, names: DataFrame, rounds: int) -> tuple[D
         return rows[["block", "doc_id", "text"]].assign(sites=final)
 
     schema = f"block long, doc_id string, text string, sites array<struct<{SITE},at:int,to:int>>"
-    words = texts.mapInPandas(_name_words, "block long, term long")
-    return cut_lineage(_by_block(texts, words, model, propose, schema)), model
+    parts = model.bits.where(F.col("bits_first") > NAME_BITS).select("term").limit(MAX_NAME_TERMS + 1).collect()
+    if len(parts) > MAX_NAME_TERMS:
+        words = texts.mapInPandas(_name_words, "block long, term long")
+        return cut_lineage(_by_block(texts, words, model, lambda rows, own: propose(rows, cache(own.knows)), schema)), model
+    terms = frozenset(r["term"] for r in parts)
+
+    def propose_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        knows = lru_cache(1 << 18)(lambda kind, word: term_key(f"p.{kind} {word}") in terms)
+        for batch in batches:
+            yield propose(batch, knows)
+
+    return cut_lineage(texts.mapInPandas(propose_all, schema)), model
 
 
 def _entities(row, model: Disclosure) -> list[tuple[int, int, str, float]]:

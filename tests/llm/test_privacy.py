@@ -57,7 +57,7 @@ def test_no_term_is_dropped_and_blocks_change_nothing(spark, monkeypatch):
     df = spark.createDataFrame(data + rare + lower, DOC)
     whole = rows(privacy.find_entities(df, known(spark)).select("doc_id", "pii_type", "start_at"))
     assert (2000, "name", 21) in whole
-    monkeypatch.setattr(privacy, "MAX_TERMS", 100, raising=False)
+    monkeypatch.setattr(privacy, "MAX_NAME_TERMS", 0)
     monkeypatch.setattr(privacy, "BLOCK_CHARS", 5000, raising=False)
     assert rows(privacy.find_entities(df, known(spark)).select("doc_id", "pii_type", "start_at")) == whole
 
