@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.functions.words import BM25, RARE_MAX_PASSAGES
 from folioscope.operators.semantic import best_columns, block_pairs
-from folioscope.session import cut_lineage
+from folioscope.session import cut_lineage, partitions
 
 #: Passages and questions of one block; bound the score matrix of a task.
 PASSAGE_BLOCK = 4096
@@ -26,9 +26,14 @@ AT_ONCE = 1 << 22
 
 
 def passages(index: DataFrame) -> DataFrame:
-    """One row per chunk_id with title and body, null texts as empty; rows without a chunk_id are no passages."""
+    """One row per chunk_id with title and body, null texts as empty; rows without a chunk_id are no passages.
+
+    They stay in the session's number of partitions, since taking texts apart costs much more than their bytes suggest.
+    """
     return (
         index.where("chunk_id is not null")
+        .select("chunk_id", "title", "body")
+        .repartition(partitions(index.sparkSession), "chunk_id")
         .dropDuplicates(["chunk_id"])
         .select("chunk_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("body", F.lit("")).alias("body"))
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from folioscope.functions import text as T
+from folioscope.session import partitions
 
 # Sizes, gaps and tolerances in points.
 TITLE_SIZE, HEADING_SIZE, H2_SIZE, BODY_SIZE = 20, 12, 14, 10.5
@@ -42,6 +43,7 @@ def lines_from_items(items: DataFrame) -> DataFrame:
     shown = items.where(T.trim(F.col("str")) != "").select(
         "doc_id", "page", F.struct((-F.col("y")).alias("up"), "x", "item_ord", "y", "str", "size", "width").alias("item")
     )
+    shown = shown.repartition(partitions(items.sparkSession), "doc_id", "page")  # folding costs more than the bytes suggest
     pages = shown.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list("item")).alias("items"))
     start = F.struct(
         F.lit(0).alias("at"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("starts")
