@@ -31,12 +31,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it from there.
+    """Write ``df`` once, as a table in the shared folder, and read it from there.
 
-    Used where several actions or branches read the same expensive result; the copy outlives lost executors.
+    Used where several actions or branches read the same expensive result; the copy outlives lost executors.  A
+    checkpoint would compute the last stage twice, once to count and once to write.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
