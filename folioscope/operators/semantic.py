@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,12 +9,18 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.words import TOP_K
 
-#: Vectors of one block (few in a small table, so that there is work for many tasks) and queries of one; they bound a task's memory.
-LEAST_BLOCK, VECTOR_BLOCK = 2048, 65_536
-BLOCKS = 64
-QUERY_BLOCK = 4096
-#: Queries of a block whose similarities a task holds at a time.
-AT_ONCE = 256
+#: Pairs of a vector block and a query block there should be, so that there is work for many tasks (fewer in a small table).
+PAIRS, LEAST_BLOCK = 36, 2048
+#: Most vectors of a block, and most queries; they bound what a task holds.
+VECTOR_BLOCK = QUERY_BLOCK = 65_536
+#: Similarities that a task holds at a time.
+AT_ONCE = 1 << 22
+#: Bytes that leave a task for each pair of a query and a vector block, as a share of what the query's vector takes.
+RESULT_SHARE = 0.9
+#: Groups of which the highest similarities bound the ``k``-th, each of so many vectors.
+GROUP = 64
+#: More than single precision can be off by for unit vectors, twice, and the sixth digit.
+MARGIN = 2e-5
 
 
 def usable(vector: Column, dimensions: int) -> Column:
@@ -40,24 +44,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
-def _packed(rows: DataFrame, blocks: int) -> DataFrame:
-    """Rows as blocks of bounded size: ``block, ids, vectors`` with the vectors as one binary matrix."""
-
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        matrix = np.stack(pdf["embedding"].to_numpy()).astype(np.float32)
-        return pd.DataFrame({"block": [key[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "vectors": [matrix.tobytes()]})
-
-    return (
-        rows.select(F.col("chunk_ord").cast("long").alias("id"), "embedding", F.pmod(F.xxhash64("chunk_ord"), F.lit(blocks)).alias("block"))
-        .groupBy("block")
-        .applyInPandas(pack, "block long, ids binary, vectors binary")
-    )
-
-
-def _units(matrix: bytes, rows: int) -> np.ndarray:
-    vectors = np.frombuffer(matrix, np.float32).reshape(rows, -1).astype(np.float64)
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+def _units(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order, each once, and their vectors at length one."""
+    ids, first = np.unique(rows["id"].to_numpy(np.int64), return_index=True)
+    vectors = np.stack(rows["embedding"].to_numpy()[first]).astype(np.float64)
+    return ids, vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
 def best_columns(scores: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
@@ -78,32 +69,73 @@ def block_pairs(left: DataFrame, left_blocks: int, right: DataFrame, right_block
     return a.join(b, ["left_block", "right_block"])
 
 
+def block_numbers(vectors: int, queries: int) -> tuple[int, int]:
+    """Into how many blocks to deal vectors and queries, so that about PAIRS pairs ship as few bytes as they can.
+
+    A vector is shipped once per query block, a query once per vector block.
+    """
+    pairs = max(1, min(PAIRS, -(-vectors // LEAST_BLOCK)))
+    query_blocks = max(1, round((pairs * (1 + RESULT_SHARE) * queries / max(vectors, 1)) ** 0.5))
+    return max(-(-pairs // query_blocks), -(-vectors // VECTOR_BLOCK)), max(query_blocks, -(-queries // QUERY_BLOCK))
+
+
+def best_of_block(v: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query numbers, vector numbers and similarities (6 digits) of the ``k`` most similar unit vectors of each query.
+
+    Vectors are in the order that settles ties.  Single precision only finds the candidates: the ``k``-th highest of
+    the groups' highest similarities is at most the ``k``-th of all.
+    """
+    v32, q32 = v.astype(np.float32), q.astype(np.float32)
+    groups = len(v) // GROUP
+    step = max(1, AT_ONCE // max(1, len(v)))
+    parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for at in range(0, len(q), step):
+        rough = q32[at : at + step] @ v32.T
+        if groups >= 2 * k:
+            high = rough[:, : groups * GROUP].reshape(len(rough), GROUP, groups).max(1)
+        else:
+            high = rough
+        width = high.shape[1]
+        bound = np.partition(high, width - k, axis=1)[:, width - k] - np.float32(MARGIN) if width > k else np.full(len(rough), -np.inf, np.float32)
+        of, near = np.divmod(np.flatnonzero(rough >= bound[:, None]), len(v))
+        for some in np.array_split(np.arange(len(of)), len(of) * q.shape[1] // AT_ONCE + 1):
+            similar = np.round(np.einsum("id,id->i", q[at + of[some]], v[near[some]]), 6)
+            parts.append((at + of[some], near[some], similar))
+    of, near, similar = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((near, -similar, of))
+    of, near, similar = of[order], near[order], similar[order]
+    best = np.arange(len(of)) - np.searchsorted(of, of) < k
+    return of[best], near[best], similar[best]
+
+
 def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """``query_ord, rank, chunk_ord, similarity``: the ``k`` most similar vectors of each query, itself included.
 
     Both tables have chunk_ord and embedding; unusable vectors are left out on both sides, repeated rows count once.
-    Every pair of a query block and a vector block is a matrix product in a task of its own; only each block's ``k``
-    best leave the task.  Equal similarities (to 6 digits) go by chunk_ord.
+    Every pair of a query block and a vector block is a matrix product in a call of its own; only each block's ``k``
+    best leave it.  Equal similarities (to 6 digits) go by chunk_ord.
     """
-    every, asked = usable_vectors(vectors), usable_vectors(queries)
-    n = every.count()
-    vector_blocks = max(1, -(-n // min(VECTOR_BLOCK, max(LEAST_BLOCK, n // BLOCKS))))
-    query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    left = _packed(every, vector_blocks).select("block", F.col("ids").alias("v_ids"), F.col("vectors").alias("v"))
-    right = _packed(asked, query_blocks).select("block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
-
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                v_ids, q_ids = np.frombuffer(row.v_ids, np.int64), np.frombuffer(row.q_ids, np.int64)
-                v, q = _units(row.v, len(v_ids)), _units(row.q, len(q_ids))
-                for at in range(0, len(q_ids), AT_ONCE):
-                    similar = np.round(q[at : at + AT_ONCE] @ v.T, 6)
-                    of, near = best_columns(similar, k)
-                    yield pd.DataFrame({"query_ord": q_ids[at + of], "chunk_ord": v_ids[near], "similarity": similar[of, near]})
-
-    near = block_pairs(left, vector_blocks, right, query_blocks).select("v_ids", "v", "q_ids", "q")
-    found = near.mapInPandas(rank, "query_ord long, chunk_ord long, similarity double")
+    held = lambda rows: rows.where(F.col("chunk_ord").isNotNull() & usable(F.col("embedding"), 64))
+    every, asked = held(vectors), held(queries)
+    # Rows repeating an id are in the same block, which counts them once.
+    vector_blocks, query_blocks = block_numbers(every.count(), asked.count())
+
+    def dealt(rows: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        block = F.pmod(F.xxhash64("chunk_ord"), F.lit(blocks)).cast("int").alias(own)
+        each = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
+        return rows.select(F.col("chunk_ord").cast("long").alias("id"), "embedding", block, each)
+
+    def rank(v_rows: pd.DataFrame, q_rows: pd.DataFrame) -> pd.DataFrame:
+        if v_rows.empty or q_rows.empty:
+            return pd.DataFrame({"query_ord": [], "chunk_ord": [], "similarity": []}).astype({"query_ord": "int64", "chunk_ord": "int64"})
+        (v_ids, v), (q_ids, q) = _units(v_rows), _units(q_rows)
+        of, near, similar = best_of_block(v, q, k)
+        return pd.DataFrame({"query_ord": q_ids[of], "chunk_ord": v_ids[near], "similarity": similar})
+
+    pair = ["vector_block", "query_block"]
+    left = dealt(every, "vector_block", vector_blocks, "query_block", query_blocks).groupBy(*pair)
+    right = dealt(asked, "query_block", query_blocks, "vector_block", vector_blocks).groupBy(*pair)
+    found = left.cogroup(right).applyInPandas(rank, "query_ord long, chunk_ord long, similarity double")
     best = Window.partitionBy("query_ord").orderBy(F.desc("similarity"), "chunk_ord")
     return (
         found.withColumn("rank", F.row_number().over(best))

@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+
 from folioscope.operators import keyword, semantic
 
 from tests.conftest import rows
@@ -112,6 +114,28 @@ def test_blocks_of_vectors_and_queries_change_nothing(spark, monkeypatch):
     assert abs(got[4] - similar(0, 4)) < 2e-6 and got[1000] is None
 
 
+def test_blocks_ship_little_and_stay_bounded():
+    for vectors, queries in ((54_000, 4_320), (330_000, 26_400), (3_000_000, 240_000), (30, 3), (0, 0)):
+        v, q = semantic.block_numbers(vectors, queries)
+        assert v * semantic.VECTOR_BLOCK >= vectors and q * semantic.QUERY_BLOCK >= queries and v >= 1 and q >= 1
+        if 0 < vectors <= 330_000:  # rows shipped; dealing 64 blocks against 7 took 12 times the vectors
+            assert q * vectors + v * queries <= 4 * vectors
+
+
+def test_rough_candidates_hold_the_best(monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(3000, 64))
+    v[1500:] = v[:1500] + 1e-5 * rng.normal(size=(1500, 64))  # near copies, which single precision can't tell apart
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    q = v[::40]
+    similar = np.round(q @ v.T, 6)
+    want = [(i, j) for i, row in enumerate(similar) for j in np.lexsort((np.arange(3000), -row))[:10]]
+    for at_once in (semantic.AT_ONCE, 10_000):
+        monkeypatch.setattr(semantic, "AT_ONCE", at_once)
+        of, near, _ = semantic.best_of_block(v, q, 10)
+        assert list(zip(of, near, strict=True)) == want
+
+
 def test_best_passages_in_blocks_equal_the_join(spark, monkeypatch):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(30)]
