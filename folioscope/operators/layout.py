@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from folioscope.functions import text as T
-from folioscope.session import partitions
+from folioscope.session import cut_lineage, partitions
 
 # Sizes, gaps and tolerances in points.
 TITLE_SIZE, HEADING_SIZE, H2_SIZE, BODY_SIZE = 20, 12, 14, 10.5
@@ -118,20 +119,12 @@ def indent_margins(lines: DataFrame) -> DataFrame:
     return at.join(page, "doc_id").withColumn("is_narrower", narrower)
 
 
-def with_margins(lines: DataFrame) -> DataFrame:
-    """Lines with the margin they wrap at and its tolerance: measured for their indentation, else the page's."""
-    margins = indent_margins(lines)
-    own = margins.where("is_narrower").select("doc_id", "indent", F.col("margin").alias("own"))
-    page = lines.where(F.col("size") < HEADING_SIZE).groupBy("doc_id").agg(F.max("right").alias("page_margin"))
-    indent = F.when(~F.col("text").rlike(NUMBERED), F.floor(F.col("x") + 0.5).cast("int"))
-    return (
-        lines.withColumn("indent", indent)
-        .join(page, "doc_id", "left")
-        .join(own, ["doc_id", "indent"], "left")
-        .withColumn("margin", F.coalesce("own", "page_margin", F.lit(0.0)))
-        .withColumn("tolerance", F.when(F.col("own").isNotNull(), MEASURED_TOLERANCE).otherwise(MARGIN_TOLERANCE).cast("double"))
-        .drop("own", "indent", "page_margin")
-    )
+def document_margins(lines: DataFrame) -> DataFrame:
+    """``doc_id, page_margin, own``: where a document's lines wrap, and the indentations (indent, margin) that wrap clearly before it."""
+    body = lines.where((F.col("size") < HEADING_SIZE) & F.col("doc_id").isNotNull())
+    page = body.groupBy("doc_id").agg(F.max("right").alias("page_margin"))
+    own = indent_margins(lines).where("is_narrower").groupBy("doc_id").agg(F.collect_list(F.struct("indent", "margin")).alias("own"))
+    return page.join(own, "doc_id", "left")
 
 
 def list_level(x: Column, text: Column) -> Column:
@@ -154,6 +147,7 @@ class _Parser:
 
     def __init__(self, doc_id: str) -> None:
         self.doc_id, self.section, self.title, self.path = doc_id, -1, "", ""
+        self.page_margin, self.own = 0.0, {}
         self.titles: list = []
         self.previous = self.anchor = None
         self.block: list | None = None
@@ -170,6 +164,16 @@ class _Parser:
         self.block = list(block)
         return done
 
+    def measure(self, page_margin: float | None, own: list | None) -> None:
+        """Take the document's margins, which come before its lines."""
+        self.page_margin = 0.0 if page_margin is None else page_margin
+        self.own = {r["indent"]: r["margin"] for r in (own if own is not None else [])}
+
+    def edge(self, line) -> float:
+        """Where a line ends that is full: its margin, measured for its indentation, else the page's, less a tolerance."""
+        own = None if line.numbered or pd.isna(line.x) else self.own.get(math.floor(line.x + 0.5))
+        return self.page_margin - MARGIN_TOLERANCE if own is None else own - MEASURED_TOLERANCE
+
     def wraps(self, line, gap: float | None) -> bool:
         """Whether the line goes on with the open paragraph."""
         before = self.previous
@@ -178,7 +182,7 @@ class _Parser:
         if line.numbered or line.x < self.anchor - 3:
             return False
         width = (line.right - line.x) / max(len(line.text), 1)
-        if before.right + width * (len(line.text.split(" ")[0]) + 1) <= before.margin - before.tolerance:
+        if before.right + width * (len(line.text.split(" ")[0]) + 1) <= self.edge(before):
             return False  # the first word would have fitted: the break was meant
         if gap is not None:
             return gap < PARAGRAPH_GAP
@@ -233,18 +237,18 @@ def section_blocks(lines: DataFrame) -> DataFrame:
 
     Title-size lines followed by a source path start a section; without one they are a level-1 heading, unless they
     repeat the section's title.  Lines before the first section are dropped, print headers and footers too.  Each
-    document is read once, in order, as a sorted stream: only the open block is held.
+    document is read once, in order, as a sorted stream that its margins lead: only they and the open block are held.
     """
-    content = lines.where(~is_page_chrome(F.col("text")))
-    marked = with_margins(content).withColumns(
-        {
-            "numbered": F.col("text").rlike(NUMBERED),
-            "is_path": F.col("text").rlike(SOURCE_PATH),
-            "finished": F.col("text").rlike(r"[.!?:][\"')]?\z"),
-            "starts_item": F.col("text").rlike(r"^(?:\p{Lu}|https?://|\S*_)"),
-            "list_level": list_level(F.col("x"), F.col("text")),
-        }
-    )
+    content = cut_lineage(lines.where(~is_page_chrome(F.col("text"))))  # read by the margins and by the parser
+    margins = document_margins(content)
+    marked = content.select(
+        "doc_id", F.lit(False).alias("is_margin"), "page", "line_ord", "y", "x", "right", "size", "text",
+        F.col("text").rlike(NUMBERED).alias("numbered"),
+        F.col("text").rlike(SOURCE_PATH).alias("is_path"),
+        F.col("text").rlike(r"[.!?:][\"')]?\z").alias("finished"),
+        F.col("text").rlike(r"^(?:\p{Lu}|https?://|\S*_)").alias("starts_item"),
+        list_level(F.col("x"), F.col("text")).alias("list_level"),
+    ).unionByName(margins.select("doc_id", F.lit(True).alias("is_margin"), F.col("page_margin").alias("right"), "own"), allowMissingColumns=True)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parser: _Parser | None = None
@@ -255,12 +259,16 @@ def section_blocks(lines: DataFrame) -> DataFrame:
                 if parser is None or parser.doc_id != line.doc_id:
                     out += parser.close() if parser else []
                     parser = _Parser(line.doc_id)
-                out += parser.take(line)
+                if line.is_margin:
+                    parser.measure(line.right, line.own)
+                else:
+                    out += parser.take(line)
             yield _frame(out, columns)
         if parser is not None:
             yield _frame(parser.close(), columns)
 
-    return marked.repartition("doc_id").sortWithinPartitions("doc_id", "page", "line_ord").mapInPandas(parse, BLOCK)
+    ordered = marked.repartition("doc_id").sortWithinPartitions("doc_id", F.desc("is_margin"), "page", "line_ord")
+    return ordered.mapInPandas(parse, BLOCK)
 
 
 def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
@@ -306,22 +314,22 @@ def section_lines(sections: DataFrame, blocks: DataFrame, across: int = 8) -> Da
     """Sections as the lines of a printed document each, to run the section parser over the given tables.
 
     A title and a path open the document; headings are larger print; paragraphs have ``across`` words to a line, with
-    the gaps, indents and right ends of print.  Blocks without a text, page or section are left out.
+    the gaps, indents and right ends of print.  Blocks without a text, page or section are left out.  Numbers of lines
+    (long here) rise down the page, with gaps.
     """
     named = sections.where("section_id is not null and path is not null and start_page is not null").dropDuplicates(["section_id"])
-    held = blocks.where("section_id is not null and text is not null and page is not null").dropDuplicates(["section_id", "block_ord"])
-    held = held.join(named.select("section_id"), "section_id", "left_semi").withColumn("bare", T.collapse(F.col("text"))).where("bare <> ''")
-    word = lambda i: F.slice(F.split("bare", " "), i * across + 1, across)
-    rows = F.ceil(F.size(F.split("bare", " ")) / across).cast("int")
-    text = F.when(F.col("kind") == "heading", F.array("bare")).otherwise(
-        F.transform(F.sequence(F.lit(0), rows - 1), lambda i: F.array_join(word(i), " "))
-    )
+    # Spaces at the ends are plain ones after the first replacement; sections are joined first, so that dropping repeats needs no shuffle.
+    shown = blocks.where("section_id is not null and text is not null and page is not null").where(F.col("text").rlike(f"[^{T.SPACE}]"))
+    held = shown.join(named.select("section_id"), "section_id", "left_semi").dropDuplicates(["section_id", "block_ord"])
+    held = held.withColumn("bare", F.trim(F.regexp_replace("text", f"[{T.SPACE}]+", " ")))
+    # Each text is taken apart by one pattern: an expression over the words inside a lambda would be computed for every line.
+    printed = F.regexp_extract_all("bare", F.lit(rf"[^ ]+(?: [^ ]+){{0,{across - 1}}}"), F.lit(0))
     size = F.when(F.col("kind") != "heading", 11.0).when(F.coalesce("level", F.lit(3)) <= 2, 15.0).otherwise(13.0)
     left = BODY_LEFT + LIST_INDENT * F.coalesce("list_level", F.lit(0))
     body = held.select(
-        F.col("section_id").alias("doc_id"), "page", "block_ord", size.alias("size"), left.cast("double").alias("x"), F.size(text).alias("lines"),
-        F.posexplode(text).alias("at", "text"),
-    )
+        F.col("section_id").alias("doc_id"), "page", "block_ord", size.alias("size"), left.cast("double").alias("x"),
+        F.when(F.col("kind") == "heading", F.array("bare")).otherwise(printed).alias("rows"),
+    ).withColumn("lines", F.size("rows")).select("doc_id", "page", "block_ord", "size", "x", "lines", F.posexplode("rows").alias("at", "text"))
     full = (F.col("at") < F.col("lines") - 1) & (F.col("size") < HEADING_SIZE)
     body = body.select(
         "doc_id", "page", F.col("block_ord").alias("a"), F.col("at").alias("b"), "x", "size", "text",
@@ -340,5 +348,5 @@ def section_lines(sections: DataFrame, blocks: DataFrame, across: int = 8) -> Da
     # Down the page: a line's height within a block, a paragraph's gap between blocks.
     every = lead.unionByName(body)
     top = (F.col("a") + 3) * 4000.0 + F.col("b") * 16.0
-    number = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("a", "b")) - 1
+    number = (F.col("a") + 3).cast("long") * (1 << 32) + F.col("b")
     return every.select("doc_id", "page", number.alias("line_ord"), (-top).alias("y"), "x", "right", "size", "text")

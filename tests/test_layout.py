@@ -1,3 +1,5 @@
+import time
+
 from folioscope.operators import layout
 
 ITEM = "doc_id string, page int, item_ord int, str string, x double, y double, size double, width double"
@@ -65,3 +67,24 @@ def test_continuation_across_pages(spark):
 def test_section_pages(spark):
     blocks = spark.createDataFrame([("a", 3), ("a", 1), ("a", None), ("b", None), (None, 9)], "section_id string, page int")
     assert sorted(tuple(r) for r in layout.section_pages(blocks).collect()) == [("a", 1, 3), ("b", None, None)]
+
+
+def test_long_texts_are_laid_out_in_linear_time(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    blocks = [("s", 0, "heading", 2, None, "A  heading ", 1), ("s", 1, "paragraph", None, None, "\u00a0" + "  ".join(words), 1), ("s", 1, "paragraph", None, None, "\u00a0" + "  ".join(words), 1), ("s", 2, "paragraph", None, None, " \u3000", 1), ("gone", 0, "paragraph", None, None, "x", 1)]
+    blocks = spark.createDataFrame(blocks, "section_id string, block_ord int, kind string, level int, list_level int, text string, page int")
+    sections = spark.createDataFrame([("s", "T", "contents/handbook/t.md", 1)], "section_id string, title string, path string, start_page int")
+    began = time.monotonic()
+    got = layout.section_lines(sections, blocks).orderBy("page", "line_ord").collect()
+    assert time.monotonic() - began < 60  # splitting the text again for every line took minutes
+    assert [r.text for r in got[:3]] == ["T", "contents/handbook/t.md", "A heading"]
+    assert [r.text for r in got[3:]] == [" ".join(words[i : i + 8]) for i in range(0, len(words), 8)]
+
+
+def test_narrow_margins_reach_the_parser(spark):
+    start = [body(0, "T", size=22, y=9000), body(1, "contents/handbook/a.md", size=8.5, y=8980)]
+    # A box wraps at 531: its second line goes on with the first, though the page's margin is 600.
+    wide = [body(2 + i, f"Line {i}.", y=8900 - 40 * i, right=600) for i in range(3)]
+    box = [body(5 + i, "box text", x=64, y=8000 - 16 * i, right=531) for i in range(30)]
+    got = layout.section_blocks(spark.createDataFrame([*start, *wide, *box], LINE)).orderBy("block_ord").collect()
+    assert [r.text for r in got] == ["Line 0.", "Line 1.", "Line 2.", " ".join(["box text"] * 30)]
