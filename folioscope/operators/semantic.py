@@ -177,9 +177,9 @@ def with_keyword_match(ranked: DataFrame, matches: DataFrame, k: int = TOP_K) ->
 
 def closest_sections(ranked: DataFrame, chunks: DataFrame, n: int = 3) -> DataFrame:
     """``query, position, section_path, title, page``: the first ``n`` distinct sections in rank order."""
-    held = chunks.where("chunk_id is not null").dropDuplicates(["chunk_id"]).select(
-        "chunk_id", "section_path", "title", F.get(F.col("pages"), F.lit(0))["page"].alias("page")
-    )
+    # Only the page's number is shuffled, not the texts.
+    page = F.get(F.col("pages"), F.lit(0))["page"].alias("page")
+    held = chunks.where("chunk_id is not null").select("chunk_id", "section_path", "title", page).dropDuplicates(["chunk_id"])
     first = (
         ranked.join(held, "chunk_id")
         .groupBy("query", "section_path")

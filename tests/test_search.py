@@ -136,6 +136,16 @@ def test_rough_candidates_hold_the_best(monkeypatch):
         assert list(zip(of, near, strict=True)) == want
 
 
+def test_closest_sections_shuffle_no_page_texts(spark):
+    ranked = spark.createDataFrame([(1, 1, "a")], "query int, rank int, chunk_id string")
+    chunks = spark.createDataFrame([("a", "s1", "T1", [(3, "x")])] * 2, "chunk_id string, section_path string, title string, pages array<struct<page:int,text:string>>")
+    closest = semantic.closest_sections(ranked, chunks)
+    assert [tuple(r) for r in closest.collect()] == [(1, 1, "s1", "T1", 3)]
+    plan = closest._jdf.queryExecution().optimizedPlan().toString()
+    aggregates = [x for x in plan.splitlines() if "Aggregate [chunk_id" in x]
+    assert aggregates and not any("pages" in x for x in aggregates)
+
+
 def test_best_passages_in_blocks_equal_the_join(spark, monkeypatch):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(30)]
