@@ -49,6 +49,10 @@ LEAST_IN_EDGES = 3
 FIRST_POINTS = 512
 INSERT_BATCH = 2048
 SEARCH_BATCH = 512
+#: An empty place of a beam, below every similarity.
+NOTHING = -2.0
+#: Points pruned at once, so that what this takes stays in the processor's cache.
+PRUNE_BATCH = 128
 
 
 def usable(vector: str | Column, dimensions: int) -> Column:
@@ -60,6 +64,21 @@ def usable(vector: str | Column, dimensions: int) -> Column:
     return F.coalesce((F.size(column) == dimensions) & finite & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
+def _packed(similar: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Similarities in single precision as numbers in double precision whose idle last bits hold a point and whether it is open.
+
+    So beams can be sorted and cut as plain numbers.  A point's number must be below 2^27.
+    """
+    keys = similar.astype(np.float64)
+    bits = keys.view(np.int64)
+    bits |= points.astype(np.int64) << 1
+    return keys
+
+
+def _numbers(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.int64) & (1 << 28) - 1) >> 1
+
+
 def beam_search(
     vectors: np.ndarray,
     edges: np.ndarray,
@@ -68,55 +87,54 @@ def beam_search(
     beam: int,
     expand: int = 4,
     own: np.ndarray | None = None,
+    room: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Ids and similarities, best first, of the ``beam`` best points each query's search saw; -1 where it saw fewer.
 
     All queries advance together.  In each round every query opens its ``expand`` best unopened points of the beam and
     merges their unseen neighbours into it; a query is done when its whole beam is open.  A query that is itself a
     point of the graph (``own`` is its number, else -1) starts from there, too.
+
+    One matrix product gives the similarities that the search looks up, since in a cell it costs less than fetching the
+    vectors of the points seen.  What was in a beam is blotted out there; what failed to enter one can't enter it later.
+    ``room`` is memory for them that several searches can use in turn, a row per query and a column more than points.
     """
-    n, points = len(queries), len(vectors)
-    seen = np.full(n * (points + 1), -1, np.int32)  # one more column: the place of no neighbour, always seen
-    grid = seen.reshape(n, -1)
-    grid[:, points] = 0
-    grid[:, entry] = 0
-    best_ids = np.full((n, beam), -1, np.int32)
-    best_sims = np.full((n, beam), -np.inf, np.float32)
-    opened = np.ones((n, beam), bool)
-    start = queries @ vectors[entry].T
+    n, stride = len(queries), len(vectors) + 1
+    near = np.empty((n, stride), np.float32) if room is None else room[:n]
+    np.matmul(queries, vectors.T, out=near[:, :-1])
+    near[:, -1] = -np.inf  # no neighbour, -1, leads to one of these
+    looked_up, edges = near.reshape(-1), edges.astype(np.intp)
+    best = np.full((n, beam), NOTHING)
     width = min(len(entry), beam, STARTS)
-    first = np.argpartition(-start, width - 1, axis=1)[:, :width]
-    best_ids[:, :width], best_sims[:, :width], opened[:, :width] = entry[first], np.take_along_axis(start, first, 1), False
+    best[:, :width] = np.partition(_packed(near[:, entry], entry), len(entry) - width, axis=1)[:, len(entry) - width :]
     if own is not None and width < beam:
-        inside = np.flatnonzero((own >= 0) & ~(best_ids[:, :width] == own[:, None]).any(1))
-        best_ids[inside, width], opened[inside, width] = own[inside], False
-        best_sims[inside, width] = np.einsum("qd,qd->q", queries[inside], vectors[own[inside]])
-        grid[inside, own[inside]] = 0
-    active, ids, sims, mine = np.arange(n), best_ids.copy(), best_sims.copy(), queries
+        inside = np.flatnonzero((own >= 0) & ~(_numbers(best[:, :width]) == own[:, None]).any(1))
+        best[inside, width] = _packed(near[inside, own[inside]], own[inside])
+        near[inside, own[inside]] = -np.inf
+    near[:, entry] = -np.inf
+    active, beams = np.arange(n), best.copy()
     while len(active):
-        waiting = np.where(opened, -np.inf, sims)
-        pick = np.argpartition(-waiting, min(expand, beam) - 1, axis=1)[:, :expand]
-        value = np.take_along_axis(waiting, pick, 1)
-        go = value.max(1) > -np.inf
+        waiting = np.where(beams.view(np.int64) & 1, NOTHING, beams)
+        pick = np.partition(waiting, -min(expand, beam), axis=1)[:, -min(expand, beam) :]
+        go = pick.max(1) > NOTHING
         if not go.all():
-            best_ids[active[~go]], best_sims[active[~go]] = ids[~go], sims[~go]
-            active, ids, sims, opened, mine, pick, value = (x[go] for x in (active, ids, sims, opened, mine, pick, value))
+            best[active[~go]] = beams[~go]
+            active, beams, waiting, pick = (x[go] for x in (active, beams, waiting, pick))
             if not len(active):
                 break
-        np.put_along_axis(opened, pick, True, 1)
-        found = edges[np.take_along_axis(ids, pick, 1)]
-        found[value == -np.inf] = points
+        beams.view(np.int64)[(waiting >= pick.min(1)[:, None]) & (waiting > NOTHING)] |= 1
+        found = edges[_numbers(pick)]
+        found[pick == NOTHING] = -1
         found = found.reshape(len(active), -1)
-        found[found < 0] = points
-        place = (found + (active * (points + 1))[:, None]).ravel()
-        new = np.flatnonzero(seen[place] < 0)
-        place, number = place[new], np.arange(len(new), dtype=np.int32)
-        seen[place] = number  # of a point that several edges lead to, the last stays
-        new = new[seen[place] == number]
-        row, node = new // found.shape[1], found.ravel()[new]
-        similar = np.einsum("fd,fd->f", mine[row], vectors[node])
-        good = similar > sims.min(1)[row]  # only what beats the worst of the beam can enter it
-        row, node, similar = row[good], node[good], similar[good]
+        found += (active * stride)[:, None]
+        similar = looked_up.take(found)
+        new = np.flatnonzero(similar > beams.min(1)[:, None])  # only what beats the worst of the beam can enter it
+        place, number = found.ravel()[new], np.arange(len(new), dtype=np.float32)
+        looked_up[place] = number  # of a point that several edges lead to, the last stays
+        last = np.flatnonzero(looked_up[place] == number)
+        looked_up[place] = -np.inf
+        new, place = new[last], place[last]
+        row, similar = new // found.shape[1], similar.ravel()[new]
         # Lay the new points of each query side by side and merge them with its beam.
         count = np.bincount(row, minlength=len(active))
         some = np.flatnonzero(count)
@@ -125,17 +143,13 @@ def beam_search(
         slot = np.arange(len(row)) - np.repeat(np.cumsum(count)[some] - count[some], count[some])
         at = np.repeat(np.arange(len(some)), count[some])
         more = int(count.max())
-        all_ids = np.full((len(some), beam + more), -1, np.int32)
-        all_sims = np.full((len(some), beam + more), -np.inf, np.float32)
-        all_open = np.ones((len(some), beam + more), bool)
-        all_ids[:, :beam], all_sims[:, :beam], all_open[:, :beam] = ids[some], sims[some], opened[some]
-        all_ids[at, beam + slot], all_sims[at, beam + slot], all_open[at, beam + slot] = node, similar, False
-        order = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-        ids[some] = np.take_along_axis(all_ids, order, 1)
-        sims[some] = np.take_along_axis(all_sims, order, 1)
-        opened[some] = np.take_along_axis(all_open, order, 1)
-    order = np.argsort(-best_sims, axis=1, kind="stable")
-    return np.take_along_axis(best_ids, order, 1), np.take_along_axis(best_sims, order, 1)
+        merged = np.full((len(some), beam + more), NOTHING)
+        merged[:, :beam] = beams[some]
+        merged[at, beam + slot] = _packed(similar, place - active[row] * stride)
+        beams[some] = np.partition(merged, more, axis=1)[:, more:]
+    best = np.sort(best, axis=1)[:, ::-1]
+    there = best > NOTHING
+    return np.where(there, _numbers(best), -1).astype(np.int32), np.where(there, best, -np.inf).astype(np.float32)
 
 
 def robust_prune(
@@ -146,27 +160,31 @@ def robust_prune(
     A candidate is covered if ``alpha`` times its distance to a kept neighbour is within its distance to the point, so
     that a larger ``alpha`` keeps more long edges.  Candidates are ids, -1 for none.
     """
-    candidates = np.where(candidates == points[:, None], -1, candidates)
-    mine = vectors[candidates]
-    distance = 1 - np.einsum("pd,pcd->pc", vectors[points], mine)
-    distance[candidates < 0] = np.inf
-    order = np.argsort(distance, axis=1, kind="stable")
-    candidates, distance = np.take_along_axis(candidates, order, 1), np.take_along_axis(distance, order, 1)
-    mine = np.take_along_axis(mine, order[:, :, None], 1)
-    twin = np.zeros(candidates.shape, bool)
-    twin[:, 1:] = candidates[:, 1:] == candidates[:, :-1]
-    alive = np.isfinite(distance) & ~twin
-    between = 1 - mine @ mine.transpose(0, 2, 1)
+    if len(points) > PRUNE_BATCH:
+        parts = range(0, len(points), PRUNE_BATCH)
+        cut = lambda x, at: x[at : at + PRUNE_BATCH]
+        return np.concatenate([robust_prune(vectors, cut(points, at), cut(candidates, at), degree, alpha) for at in parts])
+    every = np.sort(np.where(candidates == points[:, None], -1, candidates), axis=1)
+    every[:, 1:][every[:, 1:] == every[:, :-1]] = -1
+    every = np.sort(every, axis=1)[:, ::-1]  # each once, those there are to the left
     edges = np.full((len(points), degree), -1, np.int32)
-    rows = np.arange(len(points))
-    for slot in range(degree):
-        some = alive.any(1)
-        if not some.any():
-            break
-        best = alive.argmax(1)
-        edges[some, slot] = candidates[rows[some], best[some]]
-        alive[rows, best] = False
-        alive &= ~((alpha * between[rows, best] <= distance) & some[:, None])
+    by_number = np.argsort((every >= 0).sum(1), kind="stable")
+    for at in range(0, len(points), PRUNE_BATCH):
+        some = by_number[at : at + PRUNE_BATCH]
+        width = int((every[some[-1]] >= 0).sum())
+        near, rows = every[some, :width], np.arange(len(some))
+        both = vectors[np.concatenate([points[some, None], near], 1)]
+        similar = both @ both.transpose(0, 2, 1)
+        between, distance = similar[:, 1:, 1:], 1 - similar[:, 0, 1:]
+        left = np.where(near < 0, np.float32(np.inf), distance)
+        for slot in range(degree if width else 0):
+            best = left.argmin(1)
+            there = left[rows, best] < np.inf
+            if not there.any():
+                break
+            edges[some[there], slot] = near[rows[there], best[there]]
+            left[alpha * (1 - between[rows, best]) <= distance] = np.inf
+            left[rows, best] = np.inf
     return edges
 
 
@@ -216,7 +234,8 @@ def _seen(vectors: np.ndarray, edges: np.ndarray, entry: np.ndarray, of: np.ndar
     """What the searches for the points ``of`` saw, a few hundred at a time."""
     parts = range(0, len(of), SEARCH_BATCH)
     cut = lambda x, at: None if x is None else x[at : at + SEARCH_BATCH]
-    return np.concatenate([beam_search(vectors, edges, entry, vectors[cut(of, at)], beam, own=cut(own, at))[0] for at in parts])
+    room = np.empty((min(len(of), SEARCH_BATCH), len(vectors) + 1), np.float32)
+    return np.concatenate([beam_search(vectors, edges, entry, vectors[cut(of, at)], beam, own=cut(own, at), room=room)[0] for at in parts])
 
 
 def add_back_edges(vectors: np.ndarray, edges: np.ndarray, batch: np.ndarray, degree: int, alpha: float) -> None:
