@@ -299,24 +299,60 @@ def _unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": batch["id"], "unit": [v.tobytes() for v in vectors.astype(np.float32)]})
 
 
-def close_cells(units: np.ndarray, centres: np.ndarray) -> list[np.ndarray]:
-    """Per vector the numbers of the centres nearest to it: the first, and others within CLOSE of its distance.
+def close_cells(units: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per vector the numbers of the centres nearest to it, the first and others within CLOSE of its distance, and the distances.
 
-    At most MOST_CELLS, and at most half of all, so that cells get smaller.
+    At most MOST_CELLS, and at most half of all, so that cells get smaller; -1 and infinity where there are fewer.
     """
     similar = units @ centres.T
-    order = np.argsort(-similar, axis=1, kind="stable")[:, : max(1, min(MOST_CELLS, len(centres) // 2))]
+    width = max(1, min(MOST_CELLS, len(centres) // 2))
+    near = np.argpartition(-similar, width - 1, axis=1)[:, :width]
+    order = np.take_along_axis(near, np.argsort(-np.take_along_axis(similar, near, 1), axis=1, kind="stable"), 1)
     distance = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(similar, order, 1), 0))
     keep = distance <= CLOSE * distance[:, :1]
-    return [row[good].astype(np.int32) for row, good in zip(order, keep, strict=True)]
+    return np.where(keep, order, -1).astype(np.int32), np.where(keep, distance, np.inf)
+
+
+def finer_cells(units: np.ndarray, cells: list[np.ndarray], centres: dict[int, np.ndarray]) -> list[list[tuple[int, int]]]:
+    """Per vector its ``cells``, each that has ``centres`` replaced by the close ones of its parts: pairs of cell and part, -1 if whole.
+
+    Closeness is to the nearest part of any of the vector's cells, so that splitting again and again doesn't multiply
+    the cells a vector belongs to: there are at most MOST_CELLS.
+    """
+    every = np.concatenate(cells) if len(cells) else np.empty(0, np.int64)
+    of = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    result: list[list[tuple[int, int]]] = [[] for _ in cells]
+    parts: list[tuple[np.ndarray, ...]] = []
+    by_cell = np.argsort(every, kind="stable")
+    for rows in np.split(by_cell, np.flatnonzero(np.diff(every[by_cell])) + 1) if len(every) else []:
+        cell = int(every[rows[0]])
+        if cell in centres:
+            part, distance = close_cells(units[of[rows]], centres[cell])
+            r, c = np.nonzero(part >= 0)
+            parts.append((of[rows][r], np.full(len(r), cell), part[r, c], distance[r, c]))
+        else:
+            for row in of[rows]:
+                result[row].append((cell, -1))
+    if parts:
+        row, cell, part, distance = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((part, cell, distance, row))
+        row, cell, part, distance = row[order], cell[order], part[order], distance[order]
+        nearest = distance[np.searchsorted(row, row)]
+        for r, c, p in zip(*(x[distance <= CLOSE * nearest].tolist() for x in (row, cell, part)), strict=True):
+            if len(result[r]) < MOST_CELLS:
+                result[r].append((c, p))
+    return result
 
 
 def _split(members: DataFrame, dimensions: int, most: int, cell_vectors: int) -> DataFrame | None:
-    """``members`` (id, unit, cell) with the cells of more than ``most`` of them split; None if there is no such cell.
+    """``members`` (id, unit, cells) with the cells of more than ``most`` of them split; None if there is no such cell.
 
     The largest cells are split first; the others in the next pass.
     """
-    hot = members.groupBy("cell").count().where(F.col("count") > most).orderBy(F.desc("count")).limit(SPLIT_CELLS).collect()
+    hot = (
+        members.select(F.explode("cells").alias("cell"))
+        .groupBy("cell").count().where(F.col("count") > most).orderBy(F.desc("count")).limit(SPLIT_CELLS).collect()
+    )
     if not hot:
         return None
     parts = {r["cell"]: min(MOST_CENTRES, max(LEAST_CENTRES, round(r["count"] * COPIES / cell_vectors))) for r in hot}
@@ -325,6 +361,7 @@ def _split(members: DataFrame, dimensions: int, most: int, cell_vectors: int) ->
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch.explode("cells", ignore_index=True).rename(columns={"cells": "cell"}).astype({"cell": "int64"})
             share = batch["cell"].map(sizes)
             yield batch[share.notna() & (batch["lot"] < SAMPLE_VECTORS / share)].drop(columns="lot")
 
@@ -334,7 +371,7 @@ def _split(members: DataFrame, dimensions: int, most: int, cell_vectors: int) ->
 
     lot = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) / (1 << 20)
     fitted = (
-        members.select("id", "unit", "cell", lot.alias("lot"))
+        members.select("id", "unit", "cells", lot.alias("lot"))
         .mapInPandas(sample, "id long, unit binary, cell long")
         .groupBy("cell")
         .applyInPandas(fit, "cell long, centres binary")
@@ -344,19 +381,12 @@ def _split(members: DataFrame, dimensions: int, most: int, cell_vectors: int) ->
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [np.array([-1], np.int32)] * len(batch)
-            for cell, at in batch.groupby("cell").indices.items():
-                if cell in centres:
-                    for i, own in zip(at, close_cells(_matrix(batch["unit"].iloc[at]), centres[cell]), strict=True):
-                        parts[i] = own
-            yield batch.assign(parts=parts)
-
-    cell = F.when(F.col("part") < 0, F.col("cell")).otherwise(F.xxhash64("cell", "part"))
-    return (
-        members.mapInPandas(assign, "id long, unit binary, cell long, parts array<int>")
-        .select("id", "unit", "cell", F.explode("parts").alias("part"))
-        .select("id", "unit", cell.alias("cell"))
-    )
+            finer = finer_cells(_matrix(batch["unit"]), list(batch["cells"]), centres) if len(batch) else []
+            yield batch.drop(columns="cells").assign(parts=[[{"cell": c, "part": p} for c, p in x] for x in finer])
+
+    finer = members.mapInPandas(assign, "id long, unit binary, parts array<struct<cell:bigint,part:int>>")
+    cell = lambda x: F.when(x["part"] < 0, x["cell"]).otherwise(F.xxhash64(x["cell"], x["part"]))
+    return finer.select("id", "unit", F.transform("parts", cell).alias("cells"))
 
 
 def cells_of(distinct: DataFrame, dimensions: int, most: int, cell_vectors: int) -> DataFrame:
@@ -364,13 +394,13 @@ def cells_of(distinct: DataFrame, dimensions: int, most: int, cell_vectors: int)
 
     Each pass splits every cell that is too large into LEAST_CENTRES or more, so a few passes do for any table.
     """
-    members = distinct.select("id", "unit", F.lit(0).cast("long").alias("cell"))
+    members = distinct.select("id", "unit", F.array(F.lit(0).cast("long")).alias("cells"))
     for _ in range(MOST_PASSES):
         finer = _split(members, dimensions, most, cell_vectors)
         if finer is None:
             break
-        members = finer
-    return members
+        members = cut_lineage(finer)  # counted, sampled and split again
+    return members.select("id", "unit", F.explode("cells").alias("cell"))
 
 
 def _search_cell(k: int):

@@ -48,6 +48,16 @@ def test_recall_over_many_cells_and_passes(spark):
     assert sum(len(set(got[i]) & set(w)) for i, w in enumerate(want)) / (5 * len(want)) >= 0.9
 
 
+def test_passes_do_not_multiply_the_cells_of_a_vector(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_CENTRES", 8)  # so that several passes are needed
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    units = df.mapInPandas(neighbours._unit, "id long, unit binary").localCheckpoint()
+    cells = neighbours.cells_of(units, 16, 400, 200).groupBy("id").count().collect()
+    assert len(cells) == 4000 and max(r["count"] for r in cells) <= neighbours.MOST_CELLS
+
+
 def test_unusable_repeated_and_few_vectors(spark):
     data = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (2, [0.9, 0.1]), (3, [0.0, 0.0]), (4, [math.nan, 1.0]), (5, [math.inf, 1.0]), (6, None), (7, []), (8, [1.0]), (9, [1.0, None]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(data, SCHEMA).selectExpr("*", "1 as id", "'x' as unit")
